@@ -1,17 +1,18 @@
-"""What the operators share: the shared folder, cutting lineage, held-out folds and batches of rows."""
+"""What the operators share: the shared folder (from the library), held-out folds and batches of rows."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinquery.sources.shared import cut, shared_dir, shared_path
+
+__all__ = ["cut", "emitted", "fold", "pairs", "record_batch", "shared_dir", "shared_path", "texts", "word_list"]
+
 #: Bytes for word characters: A-Z as a-z; all else that is not a-z, 0-9 or beyond ASCII as a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 ROWS = 4096  # rows of a batch that goes back to Spark
@@ -22,28 +23,6 @@ def word_list(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        if named is None and not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "skeinquery-checkpoints"))
-    return named or sc.getCheckpointDir()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor loses none of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % of
