@@ -132,7 +132,8 @@ def train(docs: DataFrame, symbols: dict[bytes, int], prior: np.ndarray, states:
     """Baum-Welch over all rows of docs(text)."""
     k, spark = len(prior), docs.sparkSession
     rng = np.random.default_rng(seed)
-    model = re_estimated(prior[:, None] * k * rng.uniform(0.5, 1.5, (k, states)), rng.uniform(0.5, 1.5, (states, states)), np.ones(states), prior)
+    sticky = (0.9 * np.eye(states) + 0.1 / states) * k  # states that last tell languages and topics apart in few rounds
+    model = re_estimated(prior[:, None] * k * rng.uniform(0.5, 1.5, (k, states)), sticky, np.ones(states), prior)
     words = spark.sparkContext.broadcast(symbols)
     schema = pa.schema([("symbol", pa.int32()), *((f"s{i}", pa.float64()) for i in range(states))])
     for _ in range(rounds):
