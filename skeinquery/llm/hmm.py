@@ -9,8 +9,9 @@ one row for each symbol, re-estimates. Scaled forward recursion gives the exact
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from skeinquery.llm.common import cut, emitted, fold, pairs, texts
 
 END = b" "  # no word holds a space
-BLOCK = 1 << 20  # tokens that a task holds at a time
+BLOCK = 1 << 21  # tokens that a task holds at a time
 
 
 @dataclass
@@ -34,6 +35,11 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def symbol_ids(words: list[bytes], symbols: dict[bytes, int], other: int) -> np.ndarray:
+    """Symbols of a text's words, then of its end."""
+    return np.fromiter(chain(map(symbols.get, words, repeat(other)), (0,)), np.int32, len(words) + 1)
+
+
 def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
     """word (bytes, the end as a space), n over docs(text). Tasks combine up to `held` words before they send them."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -55,7 +61,24 @@ def count_words(docs: DataFrame, held: int = 200_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def blocks(seqs: Iterator[np.ndarray], padded: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words of counts(word, n), at most `most`, most frequent first, ties by word.
+
+    Counts fall into steps of a sixteenth of a doubling; whole steps are taken from the top while they fit, so the
+    driver gets a row for each step and then the words themselves, at any size of the corpus.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    left, lowest = most, None
+    for s, size in sorted(counts.groupBy(step).agg(F.count("*")).collect(), reverse=True):
+        if size > left:
+            break
+        left, lowest = left - size, s
+    if lowest is None:
+        return []
+    return sorted(map(tuple, counts.where(step >= lowest).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
+
+
+def blocks(seqs: Iterator[np.ndarray], padded: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
     """Sequences of about the same length together: ids (T x rows, longest row first), rows alive at each step, row numbers."""
     held: list[np.ndarray] = []
 
@@ -84,40 +107,47 @@ def blocks(seqs: Iterator[np.ndarray], padded: int = 1 << 18) -> Iterator[tuple[
     yield from cut_up()
 
 
-def forward(m: Model, ids: np.ndarray, alive: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list, list]:
-    """Log likelihood (natural) of each row, by the scaled forward recursion; with `keep` the scaled states and scales of each step."""
-    likelihood = np.zeros(ids.shape[1])
-    states, scales, a = [], [], None
-    for t, n in enumerate(alive):
-        e = m.emit[ids[t, :n]]
-        a = m.start * e if t == 0 else (a[:n] @ m.move) * e
-        c = a.sum(1)
-        a = a / c[:, None]
+def forward(m: Model, ids: np.ndarray, alive: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list, list, list]:
+    """Log likelihood (natural) of each row, by the scaled forward recursion; with `keep` each step's scaled states (S x rows), scales and emissions."""
+    likelihood, emit, move = np.zeros(ids.shape[1]), np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
+    states, scales, emitted_, a = [], [], [], None
+    for t, n in enumerate(alive.tolist()):
+        e = np.take(emit, ids[t, :n], axis=1)
+        a = m.start[:, None] * e if t == 0 else (move @ a[:, :n]) * e
+        c = a.sum(0)
+        a /= c
         likelihood[:n] += np.log(c, dtype=np.float64)
         if keep:
             states.append(a)
             scales.append(c)
-    return likelihood, states, scales
+            emitted_.append(e)
+    return likelihood, states, scales, emitted_
 
 
 def expected_counts(m: Model, ids: np.ndarray, alive: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> float:
     """Adds a block's expected counts to emit, move and start; the block's log likelihood."""
-    likelihood, states, scales = forward(m, ids, alive, keep=True)
-    gammas = [None] * len(alive)
-    b = np.ones_like(states[-1])
-    gammas[-1] = states[-1]
-    for t in range(len(alive) - 2, -1, -1):
-        n = alive[t + 1]
-        nxt = m.emit[ids[t + 1, :n]] * b[:n] / scales[t + 1][:, None]
-        move += m.move * (states[t][:n].T @ nxt)
-        b = np.ones_like(states[t])
-        b[:n] = nxt @ m.move.T
-        gammas[t] = states[t] * b
-    start += gammas[0].sum(0)
-    seen = np.concatenate([ids[t, :n] for t, n in enumerate(alive)])
-    g = np.concatenate(gammas)
+    likelihood, states, scales, es = forward(m, ids, alive, keep=True)
+    total = int(alive.sum())
+    gamma, seen = np.empty((len(m.start), total), m.emit.dtype), np.empty(total, np.int32)
+    pairs_, at, b = np.zeros_like(m.move), total, np.ones_like(states[-1])
+    for t in range(len(alive) - 1, -1, -1):
+        n = int(alive[t])
+        if t < len(alive) - 1:
+            k = int(alive[t + 1])
+            nxt = es[t + 1]
+            nxt *= b[:, :k]
+            nxt /= scales[t + 1]
+            pairs_ += states[t][:, :k] @ nxt.T
+            b = np.ones_like(states[t])
+            b[:, :k] = m.move @ nxt
+            es[t + 1] = None
+        np.multiply(states[t], b, out=gamma[:, at - n : at])
+        seen[at - n : at] = ids[t, :n]
+        at -= n
+    move += m.move * pairs_
+    start += gamma[:, : int(alive[0])].sum(1)
     for s in range(emit.shape[1]):
-        emit[:, s] += np.bincount(seen, weights=g[:, s], minlength=len(emit))
+        emit[:, s] += np.bincount(seen, weights=gamma[s], minlength=len(emit))
     return float(likelihood.sum())
 
 
@@ -140,9 +170,9 @@ def train(docs: DataFrame, symbols: dict[bytes, int], prior: np.ndarray, states:
         shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # plain data: workers may lack the package
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, get = Model(*(x.astype(np.float32) for x in shared.value)), words.value.get
+            m, index = Model(*(x.astype(np.float32) for x in shared.value)), words.value
             emit, move, start = np.zeros((k, states)), np.zeros((states, states)), np.zeros(states)
-            seqs = (np.array([*(get(w, k - 1) for w in tokens(t)), 0], np.int32) for b in batches for (t,) in pairs(b, "text"))
+            seqs = (symbol_ids(tokens(t), index, k - 1) for b in batches for (t,) in pairs(b, "text"))
             for ids, alive, _ in blocks(seqs):
                 expected_counts(m, ids, alive, emit, move, start)
             table = np.vstack([emit, move, start])
@@ -173,7 +203,7 @@ def score_texts(docs: DataFrame, training: Column, head: int = 20_000, states: i
     counts = cut(count_words(learned))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.col("word") == F.lit(END)).select("n").first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(head).collect()
+    top = frequent_words(counts.where(F.col("word") != F.lit(END)), head)
     symbols = {bytes(w): i + 1 for i, (w, _) in enumerate(top)}
     known = np.array([ends[0] if ends else 0, *(c for _, c in top), 0], np.int64)
     rest_n, rest_v = n - int(known.sum()), v - int((known > 0).sum())
@@ -187,14 +217,14 @@ def score_texts(docs: DataFrame, training: Column, head: int = 20_000, states: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, index, share, seen = shared.value
-        m, get, held = Model(*weights), index.get, []
+        m, held = Model(*weights), []
 
         def seqs() -> Iterator[np.ndarray]:
             for b in batches:
                 for doc, text in pairs(b, "doc_id", "text"):
                     words = tokens(text)
-                    ids = np.array([*(get(w, k - 1) for w in words), 0], np.int32)
-                    others = Counter(w for w, i in zip(words, ids, strict=False) if i == k - 1)
+                    ids = symbol_ids(words, index, k - 1)
+                    others = Counter([words[i] for i in np.flatnonzero(ids == k - 1)])
                     held.append((doc, len(ids), int(seen[ids].sum()), float(share[ids].sum()), [*others], [*others.values()]))
                     yield ids
 

@@ -263,7 +263,8 @@ def test_contamination_on_planted_passages(spark, docs):
 
 def test_frequent_lines(spark):
     body = " ".join(f"w{i}" for i in range(60))
-    data = [(i, f"Read  more on page {i}\n{body} {i * 7919}x", "a") for i in range(30)] + [(100 + i, f"Read more on page {i}\n{body} q{i}x", "b") for i in range(4)]
+    name = lambda i: str(i).translate(str.maketrans("0123456789", "abcdefghij"))
+    data = [(i, f"Read  more on page {i}\n{body} {name(i)}", "a") for i in range(30)] + [(100 + i, f"Read more on page {i}\n{body} q{name(i)}", "b") for i in range(4)]
     data += [(200, "\n".join(["read MORE on page 9"] * 14), "a")]
     got = {r["doc_id"]: r for r in rows(quality.apply_rules(spark.createDataFrame(data, "doc_id long, text string, source string"), share=0.1))}
     assert all(got[i]["removed_words"] == 5 and got[i]["kept"] for i in range(30))
