@@ -47,15 +47,18 @@ def records(pages: DataFrame) -> DataFrame:
 def write_archive(pages: DataFrame, path: str) -> None:
     """Writes path/headers and path/payloads as Parquet.
 
-    A payload is stored by the first row that has it: rows are grouped by digest with only ids, and texts meet the
-    chosen ids in a join on both; where one page_id and payload repeat, the last step keeps one.
+    A payload is stored by the row that has it and the smallest page_id. These rows are chosen from digests and ids
+    alone; then payloads meet their choice in one join on digest and id, which spreads the copies of a hot payload.
+    Only payloads whose chosen row repeats, page_id and all, pass a second shuffle that keeps one.
     """
     records(pages).write.mode("error").parquet(f"{path}/headers")
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    ids = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.sum(F.col("page_id").isNull().cast("int")).alias("nulls"))
-    spoken = rows.withColumn("own_id", F.coalesce("page_id", F.lit(-1))).join(ids.select("digest", F.coalesce("first_id", F.lit(-1)).alias("own_id")), ["digest", "own_id"], "left_semi")
-    spoken.select("digest", "payload").dropDuplicates(["digest"]).write.mode("error").parquet(f"{path}/payloads")
+    rows = pages.select(F.col("page_id").cast("long"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("own_id", F.coalesce("page_id", F.lit(-1)))
+    per_id = rows.groupBy("digest", "own_id").agg(F.min(F.col("page_id").isNull()).alias("nameless"), F.count("*").alias("ties"))
+    chosen = per_id.groupBy("digest").agg(F.min(F.struct("nameless", "own_id", "ties")).alias("c")).select("digest", "c.own_id", "c.ties")
+    told = rows.select("digest", "own_id", "payload").join(chosen, ["digest", "own_id"])
+    kept = told.where("ties = 1").select("digest", "payload").unionByName(told.where("ties > 1").select("digest", "payload").dropDuplicates(["digest"]))
+    kept.write.mode("error").parquet(f"{path}/payloads")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
