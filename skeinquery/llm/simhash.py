@@ -243,7 +243,11 @@ def near_duplicates(docs: DataFrame, most: int = 3, hot: int = 4096) -> DataFram
 
 
 def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, one for each component; rows with a null doc_id stay."""
+    """The rows of docs whose doc_id is their component's smallest, a row for each component.
+
+    Where rows share that doc_id, each different text of theirs stays, once. Rows with a null doc_id stay.
+    """
     named = docs.where("doc_id is not null")
     firsts = near_duplicates(named, most).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = named.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

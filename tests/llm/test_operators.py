@@ -472,3 +472,19 @@ def test_odd_rows(odd, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(none, name):
     assert rows(OPERATORS[name](none)) == []
+
+
+STAGES = {
+    "toxicity": (lambda d: toxicity.drop_toxic(d, d.sparkSession.sql("SELECT 5L AS doc_id, 1 AS toxic"), F.lit(True)), 10),
+    "simhash": (simhash.keep_one, 7),
+    "decontamination": (lambda d: decontaminate.drop_contaminated(d, d.sparkSession.sql("SELECT 1L AS item_id, 'a b c' AS text")), 7),
+    "secrets": (secrets.redact_secrets, 10),
+}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_odd_rows(odd, none, name):
+    stage, count = STAGES[name]
+    got = stage(odd)
+    assert got.columns == odd.columns and got.count() == count
+    assert stage(none).collect() == []
