@@ -79,7 +79,7 @@ def postings_ranked(weights: DataFrame, chunk: int = CHUNK, hot: int = 100_000)
     of the docid, an order that agrees with the final one. Counts of the slices give each its offset, so no task sorts
     all documents of a common word.
     """
-    step = F.floor((F.col("normalized_tf") - 0.5) * 2048).cast("int")
+    step = F.when(F.col("idf") > 0, F.floor((F.col("normalized_tf") - 0.5) * 2048)).otherwise(0).cast("int")  # idf 0: all tie
     is_hot = F.col("idf_count") > hot
     sliced = weights.select("word", "docid", "tfidf", "idf", F.when(is_hot, step).otherwise(0).alias("step"), F.when(is_hot, F.substring("docid", 1, 2)).otherwise("").alias("head"), is_hot.alias("hot"))
     slices = sliced.where("hot").groupBy("word", "step", "head").agg(F.count("*").alias("n"))
