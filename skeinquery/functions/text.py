@@ -111,6 +111,18 @@ def clock(seconds: Column) -> Column:
     return F.struct((seconds / 3600).cast("long").alias("hours"), (seconds % 3600 / 60).cast("long").alias("minutes"), (seconds % 60).cast("long").alias("seconds"))
 
 
+def request_seconds(start_ms: Column, end_ms: Column) -> Column:
+    """Seconds from a start to an end in milliseconds."""
+    return (end_ms - start_ms) / 1000
+
+
+def worker_list(text: Column) -> Column:
+    """Addresses of a list written `[a,b]`, each with http:// before it."""
+    inner = F.regexp_replace(text, r"^\s*\[|\]\s*$", "")
+    names = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(names, lambda x: F.when(x.startswith("http"), x).otherwise(F.concat(F.lit("http://"), x)))
+
+
 class VisibleText(HTMLParser):
     """Collects text nodes whose direct parent is an element that shows its text; decodes entities; drops comments."""
 

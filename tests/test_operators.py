@@ -194,6 +194,26 @@ def test_streams_agree_with_batch_over_two_runs(spark, tmp_path):
     assert got == {r.link for r in crawl.extract_links(df).collect()} and len(got) == 12
 
 
+def test_jobs(spark, tmp_path, capsys):
+    from skeinquery.plans import jobs
+
+    pages = [("d1", '<body>cat <b>dog</b> "cat"</body>'), ("d2", "<p>dog fish</p>"), ("d3", "<p>dog</p>")]
+    at = {n: str(tmp_path / n) for n in ("csv", "raw", "list", "edges", "ranks", "docs")}
+    sinks.write_csv(spark.createDataFrame(pages, "id string, contents string"), at["csv"])
+    sinks.write_edges(spark.createDataFrame([("d1", "d2"), ("d2", "d1")], "src string, dst string"), at["edges"])
+    spark.createDataFrame([("d1", "one")], "id string, title string").write.parquet(at["docs"])
+    jobs.main(["index", "--input_uri", at["csv"], "--output_path_raw", at["raw"], "--output_path_list", at["list"]])
+    jobs.main(["pagerank", "--input_uri", at["edges"], "--output_uri", at["ranks"], "--pr_iterations", "2"])
+    capsys.readouterr()
+    jobs.main(["search", "--postings", at["list"], "--ranks", at["ranks"], "--documents", at["docs"], "--q", "cat"])
+    assert capsys.readouterr().out.startswith('{"id":"d1","title":"one","score":3.51210')
+
+
+def test_lists_and_times(spark):
+    assert one(spark, T.worker_list(F.col("s")), s="[a:1, http://b:2]") == ["http://a:1", "http://b:2"]
+    assert one(spark, T.request_seconds(F.lit(1000), F.col("s")), s=2500) == 1.5
+
+
 def test_groupings(spark):
     df = spark.range(10)
     assert frontier.grouped(df, "all", 3).count() == 30
