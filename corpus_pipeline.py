@@ -31,7 +31,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents with their token ids, packed into sequences."""
     return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"))
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import bisect
 import json
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 
 from skeinquery.llm.common import cut, emitted, pairs, texts
 
-PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())])
-DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, task long"
+PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())])
+DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, task long"
 PER_TASK = 1 << 36  # sequence ids of a task or a group of tasks
 MERGED = 1 << 62  # from here on: windows merged from several tasks
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,12 +88,12 @@ def split(emitted_items: list | None) -> list[list]:
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, windows: int = 64, end_id: int = 0, merge_tasks: int = 64) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """A row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its ids, then `end_id`; null and empty texts are the end id alone, and every row of docs is packed,
-    repeated ones too. Ids are made, checked and dropped in the task that reads the text; only pieces move. A window's
-    pieces have gapless offsets from 0. Leftovers: `merge_tasks` tasks with at most `windows` windows each meet in a
-    group, a bound that holds at any size.
+    `ids` are the piece's token ids, little-endian and of 4 bytes each; a sequence is its pieces' ids by offset (see
+    sequences). A document is its ids, then `end_id`; null and empty texts are the end id alone, and every row of docs is
+    packed, repeated ones too. A window's pieces have gapless offsets from 0. Leftovers: `merge_tasks` tasks with at most
+    `windows` windows each meet in a group, a bound that holds at any size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, windows: int = 64, e
                     ids = np.append(encode((raw or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
                     for at in range(0, len(ids), size):
                         part = ids[at : at + size]
-                        piece = (doc, at, len(part), zlib.crc32(part.tobytes()), len(ids))
+                        piece = (doc, at, len(part), part.tobytes(), len(ids))
                         if len(part) == size:
                             yield from placed([piece], False)
                         else:
@@ -124,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, windows: int = 64, e
             for _, _, items in held.open:
                 yield from placed(items, True)
 
-        return emitted(PIECE, rows())
+        return emitted(PIECE, rows(), 1024)
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["sequence_id"], r["offset"]))
@@ -148,4 +147,16 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, windows: int = 64, e
     pieces = cut(texts(docs).mapInArrow(run, DDL))
     closed = pieces.where("not open")
     left = pieces.where("open").groupBy((F.col("task") / merge_tasks).cast("long").alias("grp")).applyInArrow(merge, DDL)
-    return closed.unionByName(left).drop("open", "task")
+    return closed.unionByName(left).select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """sequence_id, ids (array of int) of each packed sequence of pack's pieces; one shuffle by sequence, of at most a window each."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("sequence_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        rows = ((i, np.frombuffer(b"".join(p["ids"] for p in ps), "<i4")) for batch in batches for i, ps in pairs(batch, "sequence_id", "pieces"))
+        return emitted(schema, rows, 1024)
+
+    own = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    return own.mapInArrow(joined, "sequence_id long, ids array<int>")

@@ -226,6 +226,18 @@ def test_packing(spark, docs, texts):
     assert sum(1024 - x for x in lengths) < 0.1 * sum(lengths)
 
 
+def test_packed_sequences_hold_the_ids(spark, docs, texts):
+    path = queries.vocabulary_path("byte_bpe_50k.json")
+    encode = packing.encoder(path)
+    pieces = packing.pack(docs.repartition(3), path, windows=4, merge_tasks=2).persist()
+    whole = {r.sequence_id: r.ids for r in packing.sequences(pieces).collect()}
+    found = defaultdict(list)
+    for p in sorted(rows(pieces), key=lambda p: p["start"]):
+        found[p["doc_id"]] += whole[p["sequence_id"]][p["offset"] : p["offset"] + p["length"]]
+    pieces.unpersist()
+    assert found == {i: [*encode(t).tolist(), 0] for i, t in texts.items()}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 31), max_size=60), st.integers(1, 5))
 def test_windows_keep_every_item(sizes, most):

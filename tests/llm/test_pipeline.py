@@ -102,3 +102,10 @@ def test_packing(kept):
 
 def test_run(spark, kept):
     assert sum(r.length for r in corpus_pipeline.run(spark, SF).collect()) == sum(r.length for r in kept["packing"].collect())
+
+
+def test_packing_keeps_the_ids(kept):
+    encode, found = packing.encoder(vocabulary_path("byte_bpe_50k.json")), defaultdict(list)
+    for p in sorted(kept["packing"].collect(), key=lambda p: p.start):
+        found[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+    assert found == {i: [*encode(t).tolist(), 0] for i, t in texts(kept["secrets"]).items()}
