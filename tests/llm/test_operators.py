@@ -332,6 +332,12 @@ def test_scores(docs, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_words_outside_the_head_have_emissions(docs):
+    """The head is what is broadcast, not what is learnt: scores are those of a model that holds all words at once."""
+    few, all_ = ({r["doc_id"]: r["score"] for r in rows(hmm.score_texts(docs, fold(F.col("doc_id"), 7) != 2, head=n, states=3, rounds=2))} for n in (40, 1_000_000))
+    assert few.keys() == all_.keys() and all(np.isclose(few[i], all_[i], rtol=1e-4) for i in few)
+
+
 # Toxicity
 
 
