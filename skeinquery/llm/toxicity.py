@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from skeinquery.llm.common import emitted, fold, pairs, texts, word_list
 
 WIDTH, STRIDE = 48, 24
+MOST_WORD = 64  # bytes; longer words, as of scripts without spaces, are read in pieces
 GRAMS, DIM, HIDDEN, ATTEND = 1 << 13, 12, 8, 8
 #: Texts of label 0 and 1 in the sample that is learnt from, at most, and bytes of each.
 MOST_EACH, MOST_BYTES = (1600, 900), 8000
@@ -30,9 +31,18 @@ def window_starts(n: int) -> list[int]:
     return [*range(0, max(1, n - WIDTH), STRIDE), *([n - WIDTH] if n > WIDTH else [])] if n else []
 
 
+def spoken(text: bytes | None) -> list[bytes]:
+    """The words of a text; one of over MOST_WORD bytes as pieces that overlap by 3, so that each 3- and 4-gram is whole in one."""
+    words = word_list(text)
+    if len(max(words, key=len, default=b"")) <= MOST_WORD:
+        return words
+    step = MOST_WORD - 3
+    return [w[i : i + MOST_WORD] for w in words for i in range(0, max(1, len(w) - 3), step)]
+
+
 def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the character 3- and 4-grams of words (bytes, up to 64 of a word, between two marks), whose they are, and how many each has."""
-    marked = [b"\x02" + w[:64] + b"\x03" for w in words]
+    """Hashes of the character 3- and 4-grams of words (bytes, between two marks), whose they are, and how many each has."""
+    marked = [b"\x02" + w + b"\x03" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -186,7 +196,7 @@ def train(sample: list[tuple[bytes, int]], epochs: int = 4, batch: int = 128, ra
     A fifth of the texts is set aside: it picks the epoch and fits slope and shift. Without texts of both labels the
     network stays as it starts, with a shift that says 0.
     """
-    lists = [word_list(t) for t, _ in sample]
+    lists = [spoken(t) for t, _ in sample]
     label = np.array([y for _, y in sample], np.float32)
     often, often_grams = Counter(w for ws in lists for w in set(ws)), np.zeros(GRAMS, np.int64)
     for ws in lists:
@@ -314,7 +324,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, most_ea
             held, size = [], 0
             for batch in batches:
                 for doc, text in pairs(batch, "doc_id", "text"):
-                    held.append((doc, word_list(text)))
+                    held.append((doc, spoken(text)))
                     size += len(held[-1][1])
                     if size >= 100_000 or len(held) >= 2000:
                         yield from flush(held)
@@ -345,7 +355,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, training: Column, limit: floa
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = [word_list(t.encode("utf-8", "surrogatepass") if t else None) for (t,) in pairs(part, "text")]
+                lists = [spoken(t.encode("utf-8", "surrogatepass") if t else None) for (t,) in pairs(part, "text")]
                 yield part.filter(pa.array(scorer.scores(lists) < limit))
 
     return docs.mapInArrow(run, docs.schema)

@@ -455,6 +455,22 @@ def test_tool_calls(spark):
     assert chat.link_tool_calls(*chat.parse(empty), schemas).count() == 0
 
 
+# Long words
+
+
+def test_all_of_a_long_word_is_read(spark):
+    run = "".join(chr(0x4E00 + i) for i in range(500))
+    pieces = toxicity.spoken(f"ab {run} cd".encode())
+    whole = run.encode()
+    grams = {p[i : i + 4] for p in pieces for i in range(len(p) - 3)}
+    assert pieces[0] == b"ab" and pieces[-1] == b"cd" and all(whole[i : i + 4] in grams for i in range(len(whole) - 3))
+    assert max(map(len, pieces)) <= 64 and [len(toxicity.spoken(b"x" * n)) for n in (1, 4, 64, 65)] == [1, 1, 1, 2]
+    net = toxicity.fresh({}, 3)
+    changed = run[:300] + "\u9fa5" * 20 + run[320:]
+    a, b = (toxicity.Scorer(net).scores([toxicity.spoken(t.encode())])[0] for t in (run, changed))
+    assert a != b
+
+
 # Odd tables
 
 
