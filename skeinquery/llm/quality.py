@@ -16,12 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinquery.llm.common import cut, emitted, pairs, texts
+from skeinquery.llm.common import emitted, pairs, shared_path, texts
 
 SYMBOLS = "[#*$%&|<>]"
 DIGIT_RUN = re.compile(rb"[0-9]+")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((k, pa.int64()) for k in STATS), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((k, pa.int64()) for k in STATS), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("text", pa.binary())])
+
+CLEAN = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), *((k, pa.int64()) for k in (*STATS, "removed_words"))])
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -40,6 +42,18 @@ def repeat_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
+def line_hash(parts: list[bytes]) -> int:
+    """The hash of a normalised line, from its words."""
+    return xxhash.xxh64_intdigest(DIGIT_RUN.sub(b"0", b" ".join(parts).lower())) - (1 << 63)
+
+
+def without(text: bytes, gone: set[int]) -> bytes:
+    """A text without the lines whose hashes are in `gone`; the others stay as they are, in order."""
+    if not gone:
+        return text
+    return b"\n".join(line for line in text.split(b"\n") if not (parts := line.split()) or line_hash(parts) not in gone)
+
+
 def measure(text: bytes) -> tuple:
     """The base figures of a text, then the hash and the number of words of each distinct normalised line with a word."""
     words = text.split()
@@ -52,39 +66,58 @@ def measure(text: bytes) -> tuple:
             continue
         duplicates += line in seen
         seen.add(line)
-        h = xxhash.xxh64_intdigest(DIGIT_RUN.sub(b"0", b" ".join(parts).lower())) - (1 << 63)
+        h = line_hash(parts)
         sizes[h] = sizes.get(h, 0) + len(parts)
     chars = len(decoded) - sum(map(decoded.count, " \t\n\x0b\x0c\r"))
     return len(words), chars, sum(map(decoded.count, SYMBOLS[1:-1])), duplicates, repeat_words(words), list(sizes), list(sizes.values())
 
 
-def apply_rules(docs: DataFrame, host: str = "source", least_docs: int = 10, share: float = 0.002, most_removed: float = 0.5) -> DataFrame:
-    """doc_id, the base figures, base_failed, removed_words, kept of each row of docs(doc_id, text, host).
+def clean(docs: DataFrame, host: str = "source", least_docs: int = 10, share: float = 0.002, most_removed: float = 0.5) -> DataFrame:
+    """doc_id, text, the base figures, base_failed, removed_words, kept of each row of docs(doc_id, text, host).
 
-    A line is removed if more than `least_docs` documents of its host, and more than `share` of them, have it. Each row
-    is a document, repeated rows and ids included; a null host is a host of its own; a null text has no words and fails
-    the base rule. Hashes have 64 bits. Lines are combined before the shuffle by host and hash, so a line that all
-    documents share is a row for each task; the join back is of lines with frequent lines, which the engine broadcasts
-    if they turn out small and otherwise deals by host and hash, with hot partitions split.
+    `text` is without the lines that are removed; removed_words is what it has lost. A line is removed if more than
+    `least_docs` documents of its host, and more than `share` of them, have it. Each row is a document, repeated rows
+    and ids included; a null host is a host of its own; a null text has no words, fails the base rule and stays null.
+    Hashes have 64 bits. Lines are combined before the shuffle by host and hash, so a line that all documents share is a
+    row for each task; the join back is of lines with frequent lines, which the engine broadcasts if they turn out small
+    and otherwise deals by host and hash, with hot partitions split. Texts then meet their removed lines by row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for doc, where, text in pairs(batch, "doc_id", "host", "text"):
-                    yield doc, where or "", *measure(text or b"")
+                    yield doc, where or "", *measure(text or b""), text
 
         return emitted(SCHEMA, rows(), 1024)
 
     source = texts(docs, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
-    found = source.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in STATS) + ", hashes array<long>, sizes array<int>")
-    rows = cut(found.withColumn("row", F.monotonically_increasing_id()))
+    found = source.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{k} long" for k in STATS) + ", hashes array<long>, sizes array<int>, text binary")
+    path = shared_path(docs.sparkSession, "lines")
+    found.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
     lines = rows.select("row", "host", F.explode(F.arrays_zip("hashes", "sizes")).alias("l")).select("row", "host", F.col("l.hashes").alias("hash"), F.col("l.sizes").alias("size"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
     frequent = lines.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
     frequent = frequent.join(hosts, "host").where(F.col("n") > F.col("docs") * share).select("host", "hash")
-    removed = lines.join(frequent, ["host", "hash"], "left_semi").groupBy("row").agg(F.sum("size").alias("removed"))
-    out = rows.drop("hashes", "sizes", "host").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
+    gone = lines.join(frequent, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_list("hash").alias("gone"))
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cleaned() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, text, hashes, *stats in pairs(batch, "doc_id", "text", "gone", *STATS):
+                    left = None if text is None else without(text, set(hashes or ()))
+                    yield doc, left, *stats, stats[0] - len((left or b"").split()) if hashes else 0
+
+        return emitted(CLEAN, cleaned(), 1024)
+
+    joined = rows.drop("hashes", "sizes", "host").join(gone, "row", "left").select("doc_id", "text", "gone", *STATS)
+    out = joined.mapInArrow(remove, "doc_id long, text binary, " + ", ".join(f"{k} long" for k in STATS) + ", removed_words long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= most_removed * F.col("n_words")))
-    return out.select("doc_id", *STATS, "base_failed", "removed_words", "kept")
+    return out.select("doc_id", F.col("text").cast("string").alias("text"), *STATS, "base_failed", "removed_words", "kept")
+
+
+def apply_rules(docs: DataFrame, host: str = "source", least_docs: int = 10, share: float = 0.002, most_removed: float = 0.5) -> DataFrame:
+    """The figures and the verdict of clean(), without the texts."""
+    return clean(docs, host, least_docs, share, most_removed).drop("text")

@@ -286,6 +286,14 @@ def test_frequent_lines(spark):
     assert [r["kept"] for r in rows(quality.apply_rules(ruled, share=0.5))] == [False] * 12
 
 
+def test_cleaned_texts(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    data = [(i, f"Menu  {i}\n\n{words}\n {chr(97 + i)} own line\nmenu 7", "a") for i in range(12)] + [(50, f"menu 1\n{words} x", "b"), (51, None, "a")]
+    got = {r["doc_id"]: r for r in rows(quality.clean(spark.createDataFrame(data, "doc_id long, text string, source string")))}
+    assert all(got[i]["text"] == f"\n {chr(97 + i)} own line" and got[i]["removed_words"] == 64 and not got[i]["kept"] for i in range(12))
+    assert got[50]["text"] == f"menu 1\n{words} x" and got[50]["kept"] and got[51]["text"] is None
+
+
 # Language model
 
 
