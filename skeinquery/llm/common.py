@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skeinquery.sources.shared import cut, shared_dir, shared_path
 
-__all__ = ["cut", "emitted", "fold", "pairs", "record_batch", "shared_dir", "shared_path", "texts", "word_list"]
+__all__ = ["cut", "decoded", "emitted", "fold", "free_name", "pairs", "record_batch", "shared_dir", "shared_path", "text_bytes", "texts", "word_list"]
 
 #: Bytes for word characters: A-Z as a-z; all else that is not a-z, 0-9 or beyond ASCII as a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -23,6 +23,25 @@ def word_list(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
+def decoded(text: bytes | None) -> str:
+    """A text's characters. In every operator a byte that is not UTF-8 counts as U+FFFD, and a null text is empty."""
+    return (text or b"").decode("utf-8", "replace")
+
+
+def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
+    """A string column's values as they are stored, so that bytes that are not UTF-8 stop nothing."""
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % of

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,13 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinquery.llm.common import cut, emitted, pairs, texts
+from skeinquery.llm.common import cut, decoded, emitted, pairs, texts
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("task", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, task long"
 PER_TASK = 1 << 36  # sequence ids of a task or a group of tasks
 MERGED = 1 << 62  # from here on: windows merged from several tasks
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space that the pattern would have to backtrack through.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -34,19 +37,40 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text -> uint32 ids of the byte-level BPE in a tokenizers file; special strings are ordinary text.
+    """Text -> uint32 ids of the byte-level BPE in a tokenizers file, as its encode(text, add_special_tokens=False) gives them.
 
-    The ids are those of the tokenizers library; the merge loop is tiktoken's, which is several times faster. In such a
-    file ids rise in the order of merges, so an id is its piece's rank.
+    The strings of added tokens are matched in texts, as the library does. The merge loop is tiktoken's, which is several
+    times faster; in such a file ids rise in the order of merges, so an id is its piece's rank. A run of white space is a
+    piece but for its last character, which belongs to what follows; long runs are cut out by that rule, as the pattern's
+    own search would need a stack of their length.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    byte, special = byte_alphabet(), {x["content"] for x in model["added_tokens"]}
+    byte, special = byte_alphabet(), {x["content"]: x["id"] for x in model["added_tokens"]}
+    added = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
     ranks = {bytes(byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
     enc = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.array(enc.encode_ordinary(text), dtype="<u4")
+
+    def plain(text: str) -> list[int]:
+        ids, at = [], 0
+        for m in LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += enc.encode_ordinary(text[at : m.start()])
+            ids += enc._encode_single_piece(text[m.start() : end])
+            at = end
+        return ids + enc.encode_ordinary(text[at:])
+
+    def encode(text: str) -> np.ndarray:
+        ids, at = [], 0
+        for m in added.finditer(text):
+            ids += plain(text[at : m.start()])
+            ids.append(special[m[0]])
+            at = m.end()
+        return np.array(ids + plain(text[at:]), dtype="<u4")
+
+    return encode
 
 
 class Windows:
@@ -111,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, windows: int = 64, e
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for doc, raw in pairs(batch, "doc_id", "text"):
-                    ids = np.append(encode((raw or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(encode(decoded(raw)), np.uint32(end_id)).astype("<u4")
                     for at in range(0, len(ids), size):
                         part = ids[at : at + size]
                         piece = (doc, at, len(part), part.tobytes(), len(ids))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skeinquery.llm.common import emitted, pairs, texts
+from skeinquery.llm.common import decoded, emitted, pairs, text_bytes, texts
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -98,7 +98,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for doc, raw in pairs(batch, "doc_id", "text"):
-                    spans = find_secrets((raw or b"").decode("utf-8", "surrogatepass"), auto)
+                    spans = find_secrets(decoded(raw), auto)
                     counts = [sum(k == kind for _, _, k in spans) for kind in KINDS]
                     base = joined([x for x in spans if x[2] in BASE])
                     yield doc, *counts, hashlib.sha256(base.encode()).hexdigest(), joined(spans)
@@ -120,7 +120,7 @@ def redact(text: str, auto, mark: str = "[SECRET]") -> str:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """All rows and columns of docs; `text` without its secrets, and `n_chars`, where there is one, counted anew. Null stays null."""
+    """All rows and columns of docs; `text` without its secrets, and `n_chars`, where there is one, counted anew. Null stays null, and texts without secrets keep every byte."""
     fields = docs.schema
     text_at, chars_at = fields.names.index("text"), fields.names.index("n_chars") if "n_chars" in fields.names else None
 
@@ -129,11 +129,11 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                old = part.column(text_at).to_pylist()
-                new = [None if t is None else redact(t, auto, mark) for t in old]
-                part = part.set_column(text_at, part.schema.field(text_at), pa.array(new, part.schema.field(text_at).type))
+                old, field = text_bytes(part), part.schema.field(text_at)
+                new = [t if t is None or not find_secrets(decoded(t), auto) else redact(decoded(t), auto, mark).encode() for t in old]
+                part = part.set_column(text_at, field, pa.array(new, pa.large_binary() if pa.types.is_large_string(field.type) else pa.binary()).view(field.type))
                 if chars_at is not None:
-                    counts = [c if a == b else len(b) for c, a, b in zip(part.column(chars_at).to_pylist(), old, new, strict=True)]
+                    counts = [c if a == b else len(decoded(b)) for c, a, b in zip(part.column(chars_at).to_pylist(), old, new, strict=True)]
                     part = part.set_column(chars_at, part.schema.field(chars_at), pa.array(counts, part.schema.field(chars_at).type))
                 yield part
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skeinquery.llm.common import emitted, pairs, texts
+from skeinquery.llm.common import decoded, emitted, pairs, texts
 
 MARK = "▁"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
@@ -85,10 +85,10 @@ def count_tokens(docs: DataFrame, scores: dict[str, float], block_words: int = 1
             yield from flush(held, new)
 
         def flush(held: list[tuple], new: set[bytes]) -> Iterator[tuple]:
-            fresh = {w: MARK + w.decode("utf-8", "surrogatepass") for w in new if w not in known}
+            fresh = {w: MARK + decoded(w) for w in new if w not in known}
             if len(known) + len(fresh) > 2 * block_words:
                 known.clear()
-                fresh = {w: MARK + w.decode("utf-8", "surrogatepass") for w in new}
+                fresh = {w: MARK + decoded(w) for w in new}
             found = trie_counts(fresh.values(), table)
             known.update((w, found[s]) for w, s in fresh.items())
             for doc, words, size in held:

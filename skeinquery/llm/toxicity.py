@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinquery.llm.common import emitted, fold, pairs, texts, word_list
+from skeinquery.llm.common import emitted, fold, pairs, text_bytes, texts, word_list
 
 WIDTH, STRIDE = 48, 24
 MOST_WORD = 64  # bytes; longer words, as of scripts without spaces, are read in pieces
@@ -355,7 +355,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, training: Column, limit: floa
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = [spoken(t.encode("utf-8", "surrogatepass") if t else None) for (t,) in pairs(part, "text")]
+                lists = [spoken(t) for t in text_bytes(part)]
                 yield part.filter(pa.array(scorer.scores(lists) < limit))
 
     return docs.mapInArrow(run, docs.schema)

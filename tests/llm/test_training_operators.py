@@ -188,9 +188,9 @@ def test_encoder_agrees_with_the_library(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     encode = packing.encoder(queries.vocabulary_path("byte_bpe_50k.json"))
     more = ["<|endoftext|>", "a  b\n\n c\t", "漢字と かな 🙂🙂", "x" * 3000, "\x1c\x85  y", "١٢٣ ½ Ⅷ"]
+    more += ["a <|endoftext|> b<|endoftext|><|endoftext", " " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x" + " 　" * 1000 + "<|endoftext|>" + "\t" * 1500 + " y", "\x1c" * 2000 + " a"]
     for text in [*texts.values(), *more]:
         assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
