@@ -1,9 +1,10 @@
 """Near-duplicates by SimHash: all pairs of fingerprints that differ in at most three bits, and their components.
 
-Fingerprints are dealt by four 16-bit blocks: with at most three differences one block is equal. A block value that
-many fingerprints share is dealt again by four 12-bit blocks of the other 48 bits, for the same reason. Within a value
-fingerprints are sorted by Gray rank and held in a tree: a node keeps the bits that all below it share, less those its
-parent keeps, so a search adds up differences from the root and leaves a whole group as soon as they exceed three.
+The index is a hierarchy. Its upper nodes are bit patterns that fingerprints share under a mask: four masks of 16 bits,
+since with at most three differences one of them is equal; a node that many fingerprints share is split into four finer
+ones by a further quarter of the free bits, for the same reason, and these again. Below, fingerprints are sorted by
+Gray rank: a tree node keeps the bits that all below it share, less those its parent keeps, so a search adds up
+differences from the root and leaves a whole group as soon as they exceed three.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinquery.llm.common import cut, emitted, pairs, texts
 
 SEED = 42
 FANOUT = 8
-SMALL = 64  # fingerprints of a block value that are compared without a tree
+LEVELS = 4  # of shared patterns; at the last 44 bits or so are equal, so a node holds at most some 2 ** 21 fingerprints
+CHUNK = 1 << 18  # fingerprints that a task searches together, whole nodes
+MOST = 1 << 22  # tree nodes that a search visits at a time
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -50,34 +53,46 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A tree over fingerprints in Gray order. levels[0] is the top; each has pattern and mask arrays."""
+    """A tree over fingerprints by key, then in Gray order. levels[0] is the top: pattern, mask, first and last key of each node."""
 
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes = codes[self.order]
-        ands, ors = [self.codes], [self.codes]
+    def __init__(self, codes: np.ndarray, keys: np.ndarray | None = None):
+        keys = np.zeros(len(codes), np.int64) if keys is None else keys
+        self.order = np.lexsort((gray_rank(codes), keys))
+        self.codes, self.keys = codes[self.order], keys[self.order]
+        ands, ors, first, last = [self.codes], [self.codes], [self.keys], [self.keys]
         while len(ands[-1]) > FANOUT:
             at = np.arange(0, len(ands[-1]), FANOUT)
             ands.append(np.bitwise_and.reduceat(ands[-1], at))
             ors.append(np.bitwise_or.reduceat(ors[-1], at))
+            first.append(first[-1][at])
+            last.append(last[-1][np.minimum(at + FANOUT, len(last[-1])) - 1])
         masks = [~(a ^ o) for a, o in zip(ands, ors, strict=True)]
         self.levels = []
         for k in range(len(masks) - 1, -1, -1):
             above = np.zeros(len(masks[k]), np.uint64) if k == len(masks) - 1 else np.repeat(masks[k + 1], FANOUT)[: len(masks[k])]
-            self.levels.append((ands[k], masks[k] & ~above))
+            self.levels.append((ands[k], masks[k] & ~above, first[k], last[k]))
 
-    def search(self, queries: np.ndarray, most: int, skip=None) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, place in Gray order) of all codes within `most` bits. skip(level, q, node) may leave out groups."""
+    def search(self, queries: np.ndarray, most: int, keys: np.ndarray | None = None, skip=None, limit: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(query number, place in the index) of all codes of the query's key within `most` bits.
+
+        skip(level, q, node) may leave out groups. None if more than `limit` nodes would be held at a time.
+        """
+        keys = np.zeros(len(queries), np.int64) if keys is None else keys
         top = len(self.levels[0][0])
         q, node = np.repeat(np.arange(len(queries)), top), np.tile(np.arange(top), len(queries))
         gone = np.zeros(len(q), np.uint8)
-        for k, (pattern, mask) in enumerate(self.levels):
+        for k, (pattern, mask, first, last) in enumerate(self.levels):
             if k:
-                last = len(pattern)
+                if limit and len(q) * FANOUT > limit:
+                    return None
+                size = len(pattern)
                 q, gone = np.repeat(q, FANOUT), np.repeat(gone, FANOUT)
                 node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                there = node < last
+                there = node < size
                 q, node, gone = q[there], node[there], gone[there]
+            own = keys[q]
+            keep = np.flatnonzero((first[node] <= own) & (own <= last[node]))
+            q, node, gone = q[keep], node[keep], gone[keep]
             gone = gone + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
             keep = gone <= most
             if skip is not None:
@@ -100,98 +115,103 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = root[label]
 
 
-def spanning_links(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places in codes) that connect just what all pairs within `most` bits connect.
+def spanning_links(codes: np.ndarray, most: int, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in codes) that connect just what all pairs of equal key within `most` bits connect.
 
-    Queries go through the index in Gray order; a group that already lies in the query's component is skipped, so a
-    dense cluster costs about its size, not its square.
+    Queries go through the index in its order; a group that already lies in the query's component is skipped, so a
+    dense cluster costs about its size, not its square. A step takes as many queries as its search has room for.
     """
-    index = GrayIndex(codes)
-    n = len(codes)
-    label, step = np.arange(n), int(np.clip((1 << 22) // n, 16, 4096))
-    for at in range(0, n, step):
+    index = GrayIndex(codes, keys)
+    n, depth = len(codes), len(index.levels) - 1
+    label, at, step = np.arange(n), 0, 1 << 12
+    while at < n:
         lows, highs, lasts = [label], [label], [np.arange(n)]
-        for _ in index.levels[1:]:
+        for _ in range(depth):
             cuts = np.arange(0, len(lows[-1]), FANOUT)
             lows.append(np.minimum.reduceat(lows[-1], cuts))
             highs.append(np.maximum.reduceat(highs[-1], cuts))
             lasts.append(np.maximum.reduceat(lasts[-1], cuts))
-        own, depth = label[at : at + step], len(index.levels) - 1
-
-        def skip(k: int, q: np.ndarray, node: np.ndarray, at=at, own=own, lows=lows, highs=highs, lasts=lasts, depth=depth) -> np.ndarray:
-            low, high, last = lows[depth - k][node], highs[depth - k][node], lasts[depth - k][node]
-            return (low == high) & (low == own[q]) | (last <= at + q)
-
-        q, place = index.search(index.codes[at : at + step], most, skip)
-        label = merged(label, at + q, place)
+        while True:
+            own = label[at : at + step]
+
+            def skip(k: int, q: np.ndarray, node: np.ndarray, at=at, own=own, lows=lows, highs=highs, lasts=lasts) -> np.ndarray:
+                low, high, last = lows[depth - k][node], highs[depth - k][node], lasts[depth - k][node]
+                return (low == high) & (low == own[q]) | (last <= at + q)
+
+            found = index.search(index.codes[at : at + step], most, index.keys[at : at + step], skip, MOST if step > 1 else None)
+            if found is not None:
+                break
+            step = max(1, step // 8)
+        label = merged(label, at + found[0], found[1])
+        at, step = at + step, min(2 * step, 1 << 15)
     far = np.flatnonzero(label != np.arange(n))
     return index.order[far], index.order[label[far]]
 
 
-def near_pairs(keys: np.ndarray, codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows of equal key; rows are sorted by key. Small keys are one leaf each and are compared by offset."""
-    bounds = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    sizes = np.diff(bounds)
-    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
-    k, c, left, right = keys[small], codes[small], [], []
-    for d in range(1, int(min(SMALL, max(sizes[sizes <= SMALL], default=0)))):
-        same = np.flatnonzero(k[d:] == k[:-d])
-        near = same[np.bitwise_count(c[same] ^ c[same + d]) <= most]
-        left.append(small[near])
-        right.append(small[near + d])
-    for g in np.flatnonzero(sizes > SMALL):
-        a, b = spanning_links(codes[bounds[g] : bounds[g + 1]], most)
-        left.append(a + bounds[g])
-        right.append(b + bounds[g])
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def block(fp: Column, k: int) -> Column:
-    """Number k, then its 16 bits."""
-    return F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF) + F.lit(k << 16)
+def finer(mask: int) -> list[int]:
+    """Four masks: `mask` and a quarter of the bits outside it each."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    cuts = [len(free) * i // 4 for i in range(5)]
+    return [mask | sum(1 << k for k in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def finer(fp: Column, key: Column) -> Column:
-    """The four keys of a hot block: the key, then a number and 12 of the bits outside the block."""
-    rest = F.lit(None).cast("long")
-    for k in range(4):
-        high = F.shiftleft(F.shiftrightunsigned(fp, 16 * (k + 1)), 16 * k) if k < 3 else F.lit(0).cast("long")
-        rest = F.when(F.shiftright(key, 16) == k, high.bitwiseOR(fp.bitwiseAND((1 << 16 * k) - 1))).otherwise(rest)
-    return F.array(*(F.lit(1 << 40) + F.shiftleft(key, 14) + F.lit(j << 12) + F.shiftrightunsigned(rest, 12 * j).bitwiseAND(0xFFF) for j in range(4)))
+def nodes(codes: DataFrame, hot: int) -> DataFrame:
+    """mask, pattern, fp, rep: the upper nodes that each of codes(fp, rep) lies in.
+
+    A node of more than `hot` codes is split, level by level; counts are combined before they are shuffled.
+    """
+    level = finer(0)
+    held = codes.select("fp", "rep", F.explode(F.array(*(F.lit(signed(m)) for m in level))).alias("mask"))
+    for _ in range(LEVELS - 1):
+        held = held.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
+        crowded = cut(held.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("mask", "pattern", F.lit(True).alias("hot")))
+        if crowded.isEmpty():
+            return held
+        below = {m: finer(m) for m in level}
+        table = F.create_map(*(x for m, ms in below.items() for x in (F.lit(signed(m)), F.array(*(F.lit(signed(y)) for y in ms)))))
+        split = F.when(F.col("hot"), table[F.col("mask")]).otherwise(F.array("mask"))
+        held = held.join(crowded, ["mask", "pattern"], "left").select("fp", "rep", F.explode(split).alias("mask"))
+        level = [x for ms in below.values() for x in ms]
+    return held.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def links(codes: DataFrame, most: int = 3, hot: int = 4096) -> DataFrame:
-    """u, v over codes(fp, rep), fp distinct: pairs of reps whose links connect what all pairs within `most` (3 at most) bits connect."""
+    """u, v over codes(fp, rep), fp distinct: pairs of reps whose links connect what all pairs within `most` (3 at most) bits connect.
+
+    `hot` only says when an upper node is split into finer ones; the links are the same.
+    """
     if most > 3:
-        raise ValueError("four blocks find pairs with three differences at most")
-    keyed = codes.select("fp", "rep", F.explode(F.array(*(block(F.col("fp"), k) for k in range(4)))).alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
-    keyed = keyed.join(crowded, "key", "left")
-    keyed = keyed.select("fp", "rep", F.explode(F.when(F.col("hot"), finer(F.col("fp"), F.col("key"))).otherwise(F.array("key"))).alias("key"))
+        raise ValueError("four masks find pairs with three differences at most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(rows):
-                a, b = near_pairs(rows[:, 0], np.ascontiguousarray(rows[:, 1]).view(np.uint64), most)
-                for at in range(0, len(a), 1 << 16):
-                    yield pa.record_batch([pa.array(rows[x[at : at + (1 << 16)], 2]) for x in (a, b)], schema=LINKS)
+            new = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+            a, b = spanning_links(np.ascontiguousarray(rows[:, 2]).view(np.uint64), most, np.cumsum(np.r_[0, new]))
+            for at in range(0, len(a), 1 << 16):
+                yield pa.record_batch([pa.array(rows[x[at : at + (1 << 16)], 3]) for x in (a, b)], schema=LINKS)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
-            if held[-1][0, 0] != held[-1][-1, 0] or held[0][0, 0] != held[-1][-1, 0]:  # a key has ended
+            size += batch.num_rows
+            if size >= CHUNK and (held[0][0, :2] != held[-1][-1, :2]).any():  # all but the last node have ended
                 rows = np.concatenate(held)
-                at = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                at = int(np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))[-1]) + 1
                 yield from found(rows[:at])
-                held = [rows[at:]]
+                held, size = [rows[at:]], len(rows) - at
         if held:
             yield from found(np.concatenate(held))
 
-    return keyed.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    dealt = nodes(codes, hot).select("mask", "pattern", "fp", "rep").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
