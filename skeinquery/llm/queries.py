@@ -77,8 +77,7 @@ spoken AS (SELECT r, host, l, len(w) AS size,
   regexp_replace(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS normal FROM lines WHERE len(w) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM spoken GROUP BY r),
 own AS (SELECT r, host, normal, sum(size) AS size FROM spoken GROUP BY ALL),
-hosts AS (SELECT host, count(*) AS docs FROM docs GROUP BY host),
-frequent AS (SELECT host, normal FROM (SELECT host, normal, count(*) AS n FROM own GROUP BY ALL) JOIN hosts USING (host) WHERE n > 10 AND n > docs * 0.002e0),
+frequent AS (SELECT host, normal FROM own GROUP BY ALL HAVING count(*) > 10),
 removed AS (SELECT r, sum(size) AS removed FROM own SEMI JOIN frequent USING (host, normal) GROUP BY r),
 base AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

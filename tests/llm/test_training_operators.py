@@ -154,7 +154,7 @@ def test_simhash_whole_table(docs, texts):
     assert {i: got[i]["component_id"] for i in ids} == plain_components(codes, ids)
 
 
-@pytest.mark.parametrize("hot", [4, 4096])
+@pytest.mark.parametrize("hot", [4, 60, 4096])
 def test_links_of_dense_groups(spark, hot):
     rng = np.random.default_rng(3)
     centres = [int(x) for x in rng.integers(0, 1 << 63, 12)]
@@ -175,6 +175,30 @@ def test_index_finds_all(spark):
     assert {(int(a), int(index.codes[b])) for a, b in zip(q, place, strict=True)} == want
 
 
+def test_one_tree_for_many_keys():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 1 << 9, 4000).astype(np.uint64)
+    keys = np.sort(rng.choice(np.r_[np.arange(300), np.zeros(300, int)], 4000))
+    a, b = simhash.spanning_links(codes, 1, keys)
+    assert (keys[a] == keys[b]).all()
+    label = simhash.merged(np.arange(4000), a, b)
+    for k in (0, 7, 123):
+        own = np.flatnonzero(keys == k)
+        want = plain_components([int(c) for c in codes[own]], list(range(len(own))), 1)
+        assert [int(label[i]) for i in own] == [int(min(label[own[j]] for j in range(len(own)) if want[j] == want[i])) for i in range(len(own))]
+        assert len(set(label[own])) == len(set(want.values()))
+
+
+def test_masks_part_the_bits():
+    level = [0]
+    for _ in range(simhash.LEVELS):
+        for m in level:
+            below = [x & ~m for x in simhash.finer(m)]
+            assert sum(below) == (1 << 64) - 1 - m and max(x.bit_count() for x in below) - min(x.bit_count() for x in below) <= 1
+        level = [x for m in level for x in simhash.finer(m)]
+    assert min(m.bit_count() for m in level) >= 43
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
@@ -278,12 +302,12 @@ def test_frequent_lines(spark):
     name = lambda i: str(i).translate(str.maketrans("0123456789", "abcdefghij"))
     data = [(i, f"Read  more on page {i}\n{body} {name(i)}", "a") for i in range(30)] + [(100 + i, f"Read more on page {i}\n{body} q{name(i)}", "b") for i in range(4)]
     data += [(200, "\n".join(["read MORE on page 9"] * 14), "a")]
-    got = {r["doc_id"]: r for r in rows(quality.apply_rules(spark.createDataFrame(data, "doc_id long, text string, source string"), share=0.1))}
+    got = {r["doc_id"]: r for r in rows(quality.apply_rules(spark.createDataFrame(data, "doc_id long, text string, source string")))}
     assert all(got[i]["removed_words"] == 5 and got[i]["kept"] for i in range(30))
     assert all(got[100 + i]["removed_words"] == 0 and got[100 + i]["kept"] for i in range(4))
     assert got[200]["removed_words"] == 70 and not got[200]["kept"] and got[200]["n_dup_lines"] == 13
     ruled = spark.createDataFrame([(1, "\n".join([" ".join(f"z{i}" for i in range(60)), "shared line of eight words in all here"] * 1), "h")] * 12, "doc_id long, text string, source string")
-    assert [r["kept"] for r in rows(quality.apply_rules(ruled, share=0.5))] == [False] * 12
+    assert [r["kept"] for r in rows(quality.apply_rules(ruled))] == [False] * 12
 
 
 def test_cleaned_texts(spark):
