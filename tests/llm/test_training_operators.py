@@ -447,7 +447,7 @@ def test_archive_round_trip(spark):
     assert kinds[2, "http://b/"] == ("revisit", 1) and kinds[None, "http://f/"] == ("revisit", 1) and kinds[4, "http://c/"] == ("response", None)
     for r in rows(warc.record_bytes(read)):
         head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and len(block) == int(re.search(rb"Content-Length: (\d+)", head)[1]) + 4
+        assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and b"\r\nWARC-Date: " in head and (b"WARC-Profile" in head) == (b"WARC-Type: revisit" in head) and len(block) == int(re.search(rb"Content-Length: (\d+)", head)[1]) + 4
 
 
 def test_archive_refuses_a_changed_payload(spark):
@@ -458,6 +458,33 @@ def test_archive_refuses_a_changed_payload(spark):
         warc.payloads(spark, path).collect()
 
 
+def test_archive_says_what_the_header_bytes_say(spark):
+    path = shared_path(spark, "warc")
+    warc.write_archive(spark.createDataFrame([(1, "http://a/\r\nWARC-Type: revisit", "abc")], "page_id long, url string, html string"), path)
+    header = spark.read.parquet(f"{path}/headers").first().headers
+    assert spark.read.parquet(f"{path}/headers").columns == ["headers"] and rows(warc.read_archive(spark, path))[0]["url"] == "http://a/%0D%0AWARC-Type: revisit"
+    more = bytes(header).replace(b"page:1>", b"page:-7>").replace(b"http://a/", b"http://b/")
+    spark.createDataFrame([(more,)], "headers binary").write.mode("append").parquet(f"{path}/headers")
+    assert {r["page_id"] for r in rows(warc.read_archive(spark, path))} == {1, -7}
+    for bad, message in ((bytes(header).replace(b"sha256:", b"sha256:" + b"0" * 8), "not the headers"), (re.sub(b"sha256:.{8}", b"sha256:00000000", bytes(header)), "missing payload"), (bytes(header).replace(b"Length: 3", b"Length: 4"), "wrong length"), (b"x", "not the headers")):
+        other = shared_path(spark, "warc")
+        spark.read.parquet(f"{path}/payloads").write.parquet(f"{other}/payloads")
+        spark.createDataFrame([(bad,)], "headers binary").write.parquet(f"{other}/headers")
+        with pytest.raises(Exception, match=message):
+            warc.read_archive(spark, other).select("page_id", "record_type", "payload_bytes", "payload_digest").collect()
+
+
+def test_archive_of_odd_pages(spark):
+    data = [(1, None, None, "x"), (1, None, None, "x"), (2, "", "", "y"), (None, "http://a/", "z" * 300_000, "y"), (None, None, "z" * 300_000, "y"), (3, "http://b/", "z" * 300_000, None)]
+    odd = spark.createDataFrame(data, "page_id long, url string, html string, digest string").withColumns({"payload": F.lit(1), "own_id": F.lit(2), "ties": F.lit(3), "first_id": F.lit(4), "headers": F.lit(5)})
+    path, empty = shared_path(spark, "warc"), shared_path(spark, "warc")
+    warc.write_archive(odd, path)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows(warc.read_archive(spark, path)))
+    assert got == {(1, "response", None, 0): 2, (2, "response", None, 0): 1, (None, "revisit", 3, 300_000): 2, (3, "response", None, 300_000): 1}
+    warc.write_archive(odd.where("false"), empty)
+    assert rows(warc.read_archive(spark, empty)) == []
+
+
 # Chat
 
 
