@@ -29,3 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor loses none of it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, name: str = "part") -> DataFrame:
+    """df, computed once, as Parquet in the shared folder: columns and filters reach its scans, and its size is known to later plans."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
