@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinquery.sources.shared import cut, shared_dir, shared_path
+from skeinquery.sources.shared import cut, kept, shared_dir, shared_path
 
-__all__ = ["cut", "decoded", "emitted", "fold", "free_name", "pairs", "record_batch", "shared_dir", "shared_path", "text_bytes", "texts", "word_list"]
+__all__ = ["cut", "decoded", "emitted", "fold", "free_name", "kept", "pairs", "record_batch", "shared_dir", "shared_path", "text_bytes", "texts", "word_list"]
 
 #: Bytes for word characters: A-Z as a-z; all else that is not a-z, 0-9 or beyond ASCII as a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -1,142 +1,237 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
-A window is ten consecutive words of an item (all words of a shorter item). A document holds a window if it has its
-words in a row, so containment is total and the prefix that a join needs is one token: the window's rarest word. Words
-are ranked by how often the documents have them (counted over all documents, for the items' words only). A document
-word that is some window's prefix token gives that window's only possible place (positional bound); a place that does
-not lie within the document is out (length bound); the rest is verified word by word.
+A window is ten consecutive words of an item (all words of a shorter item), taken as the set of its shingles of five
+words (one of all its words, if it has fewer). Shingles are ordered by rarity, that is by how often all documents have
+them. A document holds a window only if it holds all its shingles, so containment is total and the prefix that the join
+needs is one token: the rarest shingle. Documents and windows are joined on that token by shuffle; a joined pair has one
+possible place (positional bound), must lie within the document (length bound), and is then compared word by word.
+
+Documents send only shingles that pass a filter of fixed size over the wanted ones; the filter is the only thing of the
+benchmark that the driver or a broadcast holds. A filter that fills up lets more through, which the join leaves out.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinquery.llm.common import emitted, pairs, texts, word_list
+from skeinquery.llm.common import cut, emitted, free_name, kept, pairs, texts, word_list
 
-COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+SHINGLE = 5
+SLOTS = 1 << 21  # of 64 bits each: 16 MB
+BLOCK = 1 << 17  # words that a task hashes together; a longer text is a block of its own
+CACHED = 300_000  # distinct words whose hashes a task keeps
+WINDOWS = pa.schema([("item", pa.string()), ("window", pa.binary()), ("size", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+COUNTS = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+HIT = pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("context", pa.binary())])
+READ = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary()), ("hits", pa.list_(HIT))])
+READ_DDL = "doc_id long, n_words long, digest binary, hits array<struct<hash:long,at:int,lead:int,context:binary>>"
+FOUND = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.binary())])
 
 
-def item_windows(items: list[tuple], width: int) -> dict[tuple[bytes, ...], set]:
-    """Window -> ids of the items that have it."""
-    out: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item, text in items:
-        words = word_list(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            out[tuple(words[i : i + width])].add(item)
-    return out
+class Hasher:
+    """64-bit hashes of words and of their shingles; word hashes are kept, up to a bound."""
 
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
 
-def prefix_index(windows: dict[tuple[bytes, ...], set], rarity: dict[bytes, int]) -> dict[bytes, list]:
-    """Prefix token -> [(its place in the window, window, items)]; the rarest word, ties by the word itself, leads."""
-    out = defaultdict(list)
-    for w, ids in windows.items():
-        lead = min(w, key=lambda x: (rarity.get(x, 0), x))
-        out[lead].append((w.index(lead), w, frozenset(ids)))
-    return dict(out)
+    def words(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > CACHED:
+            known.clear()
+        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(known))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
+    def shingles(self, h: np.ndarray, size: int) -> np.ndarray:
+        """The hash of each run of `size` words, from the hashes of the words."""
+        out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+        for k in range(size):
+            out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
 
-def matches(words: list[bytes], index: dict[bytes, list]) -> Iterator[tuple[int, int, frozenset]]:
-    """(start, end, items) of each occurrence of a window."""
-    n = len(words)
-    for at, word in enumerate(words):
-        if word in index:
-            for place, window, ids in index[word]:
-                start, end = at - place, at - place + len(window)
-                if start >= 0 and end <= n and all(words[start + i] == x for i, x in enumerate(window)):
-                    yield start, end, ids
 
+def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """item, window (its words, spaced), size, hashes of its shingles: a row for each window of each item."""
 
-def covered(spans: list[tuple[int, int]]) -> int:
-    total, at = 0, 0
-    for s, e in sorted(spans):
-        total += max(0, e - max(s, at))
-        at = max(at, e)
-    return total
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """Items in blocks of about `block_bytes` of text; the driver holds one block and one partition of items at a time."""
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for item, text in pairs(batch, "item", "text"):
+                    words = word_list(text)
+                    size = min(width, len(words))
+                    k = min(SHINGLE, size)
+                    h = hasher.shingles(hasher.words(words), k).view(np.int64).tolist() if size else []
+                    for i in range(len(words) - size + 1 if size else 0):
+                        yield item, b" ".join(words[i : i + size]), size, h[i : i + size - k + 1]
+
+        return emitted(WINDOWS, rows(), 1 << 14)
+
+    source = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(run, "item string, window binary, size int, hashes array<long>")
+
+
+def filter_of(hashes: DataFrame) -> Broadcast:
+    """A bit for each of hashes(hash); slots are combined before the driver gets them, SLOTS rows at most."""
+    slot = F.shiftrightunsigned("hash", 6).bitwiseAND(SLOTS - 1).alias("slot")
+    found = hashes.groupBy(slot).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(SLOTS, np.uint64)
+    bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def passing(words: list[bytes], ends: np.ndarray, sizes: list[int], bits: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the shingles that pass the filter, in the words of texts that end before `ends`."""
+    h, places, hashes = hasher.words(words), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    last = np.repeat(ends, np.diff(ends, prepend=0))
+    for k in sizes:
+        s = hasher.shingles(h, k)
+        hit = np.flatnonzero(bits[((s >> np.uint64(6)) & np.uint64(SLOTS - 1)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1))
+        hit = hit[last[hit] - hit >= k]
+        places.append(hit)
+        hashes.append(s[hit])
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(doc_id, text, words) of texts, some BLOCK words together."""
     held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("text is not null").toLocalIterator()
-    for item, text in rows:
-        held.append((item, bytes(text)))
-        size += len(text)
-        if size >= block_bytes:
-            yield held
-            held, size = [], 0
+    for batch in batches:
+        for doc, text in pairs(batch, "doc_id", "text"):
+            held.append((doc, text, word_list(text)))
+            size += len(held[-1][2])
+            if size >= BLOCK or len(held) >= 4096:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
 
-def word_rarity(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
-    """How often all documents have each of `words`, a set that a block of items bounds; counted in tasks, then summed."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+def flat(block: list[tuple]) -> tuple[list[bytes], np.ndarray]:
+    return [w for _, _, words in block for w in words], np.cumsum([len(words) for _, _, words in block])
+
+
+def shingle_counts(docs: DataFrame, sizes: list[int], wanted: Broadcast, held: int = 200_000) -> DataFrame:
+    """hash, n: how often all documents have each shingle that passes the filter; tasks combine up to `held` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = shared.value, Counter()
-        for batch in batches:
-            for (text,) in pairs(batch, "text"):
-                counts.update(filter(wanted.__contains__, word_list(text)))
-        yield from emitted(COUNTS, iter(counts.items()))
+        hasher, counts = Hasher(), {}
 
-    found = texts(docs).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(w): n for w, n in found.collect()}
+        def rows() -> Iterator[tuple]:
+            for block in blocks(batches):
+                found, n = np.unique(passing(*flat(block), sizes, wanted.value, hasher)[1].view(np.int64), return_counts=True)
+                for h, k in zip(found.tolist(), n.tolist(), strict=True):
+                    counts[h] = counts.get(h, 0) + k
+                if len(counts) > held:
+                    yield from counts.items()
+                    counts.clear()
+            yield from counts.items()
 
+        return emitted(COUNTS, rows(), 1 << 14)
 
-def index_blocks(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> list:
-    """A broadcast prefix index for each block of items."""
-    blocks = []
-    for items in item_blocks(benchmark, block_bytes):
-        windows = item_windows(items, width)
-        index = prefix_index(windows, word_rarity(docs, {x for w in windows for x in w}))
-        blocks.append(docs.sparkSession.sparkContext.broadcast(index))
-    return blocks
+    return texts(docs).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs(doc_id, text).
+def prefixes(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """window, size, hash, place: each distinct window's rarest shingle (ties by hash) and where in the window it is first."""
+    distinct = windows.groupBy("window").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes"))
+    each = distinct.select("window", "size", F.posexplode("hashes").alias("place", "hash"))
+    counts = shingle_counts(docs, sizes, filter_of(each.select("hash")))
+    led = each.join(counts, "hash", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "place")).alias("f"))
+    return led.select("window", "size", "f.hash", "f.place")
 
-    Items go to the executors in blocks of a bounded size, each read from its broadcast as a task needs it; documents
-    are scanned once for the counts of each block and once for the result, and are never shuffled. Null texts have no
-    words. Items with equal ids count as one; an item with a null id marks words but is not counted or listed.
-    """
-    blocks = index_blocks(docs, benchmark, width, block_bytes)
+
+def read_documents(docs: DataFrame, sizes: list[int], wanted: Broadcast, width: int) -> DataFrame:
+    """doc_id, n_words, digest (MD5 of a text with hits), hits of each row of docs: prefix tokens, each with the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+
         def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for doc, text in pairs(batch, "doc_id", "text"):
-                    words, spans, ids = word_list(text), [], set()
-                    for b in blocks:
-                        for start, end, items in matches(words, b.value):
-                            spans.append((start, end))
-                            ids |= items
-                    listed = sorted(x for x in ids if x is not None)
-                    hit = covered(spans)
-                    yield doc, len(words), hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), hit > 0
+            for block in blocks(batches):
+                words, ends = flat(block)
+                places, hashes = passing(words, ends, sizes, wanted.value, hasher)
+                order = np.argsort(places, kind="stable")
+                places, hashes = places[order], hashes[order].view(np.int64)
+                bounds = np.searchsorted(places, np.r_[0, ends])
+                for i, (doc, text, own) in enumerate(block):
+                    begin, hits = int(ends[i]) - len(own), []
+                    for p, h in zip((places[bounds[i] : bounds[i + 1]] - begin).tolist(), hashes[bounds[i] : bounds[i + 1]].tolist(), strict=True):
+                        left = max(0, p - width + 1)
+                        hits.append({"hash": h, "at": p, "lead": p - left, "context": b" ".join(own[left : p + width])})
+                    yield doc, len(own), hashlib.md5(text, usedforsecurity=False).digest() if hits else None, hits
 
-        return emitted(HITS, rows())
+        return emitted(READ, rows(), 1024)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return texts(docs).mapInArrow(run, READ_DDL)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of docs without an occurrence of a window, all columns, by the same index; narrow, no shuffle."""
-    blocks = index_blocks(docs, benchmark, width, block_bytes)
+def verified(read: DataFrame, prefix: DataFrame) -> DataFrame:
+    """row, digest, start, end, window: the occurrences of windows among read(row, digest, n_words, hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for (text,) in pairs(batch, "text"):
-                words = word_list(text.encode("utf-8", "surrogatepass") if text else None)
-                keep.append(not any(next(matches(words, b.value), None) for b in blocks))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for row, digest, start, skip, size, context, window in pairs(batch, "row", "digest", "start", "skip", "size", "context", "window"):
+                    if context.split(b" ")[skip : skip + size] == window.split(b" "):
+                        yield row, digest, start, start + size, window
+
+        return emitted(FOUND, rows())
+
+    hits = read.select("row", "digest", "n_words", F.explode("hits").alias("h")).select("row", "digest", "n_words", "h.hash", "h.at", "h.lead", "h.context")
+    start = F.col("at") - F.col("place")
+    joined = hits.join(prefix, "hash").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    joined = joined.select("row", "digest", start.cast("long").alias("start"), (F.col("lead") - F.col("place")).alias("skip"), "size", "context", "window")
+    return joined.mapInArrow(run, "row long, digest binary, start long, end long, window binary")
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What was read of each document with its row number, the occurrences, and the windows of the items."""
+    windows = kept(item_windows(benchmark, width), "windows")
+    sizes = sorted(r[0] for r in windows.select(F.least("size", F.lit(SHINGLE))).distinct().collect())  # SHINGLE rows at most
+    prefix = kept(prefixes(docs, windows, sizes), "prefixes")
+    read = cut(read_documents(docs, sizes, filter_of(prefix), width).withColumn("row", F.monotonically_increasing_id()))
+    return read, kept(verified(read.where(F.size("hits") > 0), prefix), "occurrences"), windows
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs(doc_id, text).
+
+    Documents are read once for the counts of shingles and once for prefix tokens; texts are never shuffled. Tokens are
+    counted in tasks before they are shuffled; a token that many documents hold is split by the engine, as its windows
+    are few rows. Null texts have no words. Items with equal ids count as one; an item with a null id marks words but is
+    not counted or listed. Repeated rows keep a row each.
+    """
+    read, found, windows = occurrences(docs, benchmark, width)
+    spans = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+    add = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["at"]))).alias("n"), F.greatest(a["at"], s["end"]).alias("at"))
+    spans = spans.select("row", F.aggregate("spans", start, add)["n"].alias("n_hit"))
+    items = windows.where("item is not null").select("window", "item").distinct()
+    named = found.select("row", "window").distinct().join(items, "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    with_hits = read.where(F.size("hits") > 0).select("row", "doc_id", "n_words").join(spans, "row", "left").join(named, "row", "left")
+    out = read.where(F.size("hits") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    out = out.unionByName(with_hits.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of docs without an occurrence of a window, all columns, by the same join.
+
+    Contaminated texts leave by their MD5; the engine broadcasts these if their measured size allows, else it deals texts
+    by them, with hot ones split. Null texts stay.
+    """
+    _, found, _ = occurrences(docs, benchmark, width)
+    name = free_name(docs, "text_md5")
+    bad = kept(found.select(F.col("digest").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, F.unhex(F.md5(F.col("text").cast("binary")))).join(bad, name, "left_anti").select(*docs.columns)
