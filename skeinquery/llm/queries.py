@@ -33,8 +33,8 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
     system = F.col("role") == "system"
     context = F.when(F.col("turn") > 0, F.lit("$c0")).otherwise(F.lit(""))
-    reply = F.create_map(F.lit("prompt"), F.col("text"), F.lit("turn"), F.col("turn").cast("string"), F.lit("context"), context)
-    arguments = F.when(system, F.create_map(F.lit("instructions"), F.col("text"))).otherwise(reply)
+    reply = F.to_json(F.struct(F.col("text").alias("prompt"), "turn", context.alias("context")))
+    arguments = F.when(system, F.to_json(F.struct(F.col("text").alias("instructions")))).otherwise(reply)
     calls = asked.select("conv_id", key(F.col("turn")).alias("call_id"), "turn", F.lit(0).alias("idx"), F.when(system, "configure").otherwise("reply").alias("name"), arguments.alias("arguments"))
     results = said.where("role = 'assistant'").select("conv_id", key(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     more_calls, more_results = chat.parse(said)
@@ -49,7 +49,7 @@ WITH said AS (SELECT conv_id, turn, role, text FROM conversations),
 calls AS (
   SELECT conv_id, 'c' || turn AS call_id, turn, CASE WHEN role = 'system' THEN 'configure' ELSE 'reply' END AS name,
     CASE WHEN role = 'system' THEN '{"instructions":' || to_json(text)::VARCHAR || '}'
-      ELSE '{"context":' || CASE WHEN turn > 0 THEN '"$c0"' ELSE '""' END || ',"prompt":' || to_json(text)::VARCHAR || ',"turn":"' || turn || '"}' END AS canonical
+      ELSE '{"context":' || CASE WHEN turn > 0 THEN '"$c0"' ELSE '""' END || ',"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '}' END AS canonical
   FROM said WHERE role IN ('system', 'user')),
 results AS (
   SELECT conv_id, 'c' || (turn - 1) AS call_id, count(*) AS n_results, arg_min(text, (turn, text)) AS content
