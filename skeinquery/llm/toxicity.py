@@ -296,15 +296,17 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column, most_each: tuple[int, int], most_bytes: int) -> list[tuple[bytes, int]]:
-    """Training texts and labels, bounded: at most most_each[y] texts of label y, those whose ids hash lowest, none over most_bytes.
+    """Training texts and labels, bounded: of the labelled texts of up to most_bytes, at most most_each[y] of label y, those whose ids hash lowest.
 
-    Ids are chosen from the labels alone; of an id that labels repeat the highest label counts.
+    Of an id that labels repeat the highest label counts; each text of an id that docs repeat is taken.
     """
     given = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     given = given.where(F.coalesce(training, F.lit(False)))
+    short = texts(docs).where(F.octet_length("text") <= most_bytes)
+    given = given.join(short.select("doc_id"), "doc_id", "left_semi")
     chosen = [given.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in enumerate(most_each)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # sum(most_each) rows at most
-    rows = texts(docs).where(F.octet_length("text") <= most_bytes).join(ids, "doc_id").select("doc_id", "text", "toxic")
+    rows = short.join(ids, "doc_id").select("doc_id", "text", "toxic")
     return [(bytes(t), y) for _, t, y in sorted(map(tuple, rows.collect()))]
 
 

@@ -280,7 +280,7 @@ def test_contamination_small(spark):
     long = "the quick brown fox jumps over the lazy dog and then some more words here"
     items = spark.createDataFrame([(1, long), (2, "Short one"), (3, None), (4, "..."), (2, "another two"), (None, "lonely item")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "X " + long.upper() + ", y"), (2, "a short-one; another two"), (3, "quick brown fox jumps over the lazy dog and"), (4, None), (5, "a lonely item"), (5, "é short é one")], "doc_id long, text string")
-    got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["n_items"], r["contaminated"]) for r in rows(decontaminate.find_contamination(docs, items, block_bytes=20))}
+    got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["n_items"], r["contaminated"]) for r in rows(decontaminate.find_contamination(docs, items))}
     assert got == {(1, 17): (15, 1, True), (2, 5): (4, 1, True), (3, 9): (0, 0, False), (4, 0): (0, 0, False), (5, 3): (2, 0, True), (5, 4): (0, 0, False)}
     assert [r["doc_id"] for r in rows(decontaminate.drop_contaminated(docs, items))] == [3, 4, 5]
 
@@ -294,6 +294,38 @@ def test_contamination_on_planted_passages(spark, docs):
         assert got[10_000 + r.item_id]["n_hit"] >= len(word_list(r.text.encode()))
 
 
+def test_contamination_with_hot_passages(spark):
+    """Items that share passages, a passage that most documents hold, words in repeats, and short items, against all windows one by one."""
+    rng = np.random.default_rng(9)
+    word = lambda: "w%d" % rng.integers(0, 12)
+    shared = [word() for _ in range(30)]
+    items = [(i, " ".join([word() for _ in range(rng.integers(0, 25))] + (shared[i % 5 :][: rng.integers(1, 30)] if i % 2 else []))) for i in range(60)] + [(60, "w1 w2"), (61, "w3"), (61, "w4 w4 w4"), (None, "w5 w5")]
+    docs = [(i, " ".join([word() for _ in range(rng.integers(0, 60))] + shared * (i % 3 > 0) + [word() for _ in range(5)])) for i in range(90)] + [(90, "w1 " * 4000), (90, "w1 " * 4000)]
+    got = Counter(tuple(r.values()) for r in rows(decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))))
+    windows = {(i, tuple(w[k : k + 10])) for i, t in items if (w := t.split()) for k in range(max(1, len(w) - 9))}
+    want = Counter()
+    for d, t in docs:
+        w, hit, named = t.split(), set(), set()
+        places = {n: defaultdict(list) for n in {len(x) for _, x in windows}}
+        for n, at in places.items():
+            for k in range(len(w) - n + 1):
+                at[tuple(w[k : k + n])].append(k)
+        for i, x in windows:
+            for k in places[len(x)].get(x, ()):
+                hit.update(range(k, k + len(x)))
+                named.add(i)
+        listed = sorted(str(i) for i in named if i is not None)
+        want[d, len(w), len(hit), len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), bool(hit)] += 1
+    assert got == want
+
+
+def test_a_full_filter_changes_nothing(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = Counter(tuple(r.values()) for r in rows(decontaminate.find_contamination(docs, items)))
+    monkeypatch.setattr(decontaminate, "SLOTS", 4)
+    assert Counter(tuple(r.values()) for r in rows(decontaminate.find_contamination(docs, items))) == want
+
+
 # Quality rules
 
 
@@ -427,6 +459,65 @@ def test_held_out_accuracy():
     assert np.mean((p >= 0.5) == np.array([y for _, y in data[700:]])) > 0.95
 
 
+def test_scores_are_those_of_a_plain_pass():
+    """Words, grams, gates, attention, windows and the highest window, one by one."""
+    rng = np.random.default_rng(12)
+    net = toxicity.fresh({b"ab": 1, b"cd": 2}, 5)
+    net.slope, net.shift = 1.5, -0.25
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    s = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(w):
+        m, grams = b"\x02" + w + b"\x03", []
+        for k in (3, 4):
+            for i in range(len(m) - k + 1):
+                h = m[i]
+                for c in m[i + 1 : i + k]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                grams.append((((h ^ k) * 0x9E3779B1) & 0xFFFFFFFF) >> 19)
+        return p["word"][net.vocabulary.get(w, 0)] + p["gram"][grams].sum(0) / max(1, len(grams))
+
+    def logit(words):
+        states = []
+        for d, seq in (("f", words), ("b", words[::-1])):
+            h, out, n = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+            for w in seq:
+                gx, gh = vector(w) @ p[f"in_{d}"] + p[f"bias_{d}"], h @ p[f"back_{d}"]
+                z, r = s(gx[:n] + gh[:n]), s(gx[n : 2 * n] + gh[n : 2 * n])
+                new = np.tanh(gx[2 * n :] + r * gh[2 * n :])
+                h = (1 - z) * new + z * h
+                out.append(h)
+            states.append(out if d == "f" else out[::-1])
+        both = np.concatenate([np.array(x) for x in states], 1)
+        a = np.exp(np.tanh(both @ p["attend"]) @ p["ask"])
+        return (a / a.sum()) @ both @ p["out"] + p["bias"][0]
+
+    texts_ = [[b"w%d" % i for i in rng.integers(0, 40, n)] + [b"ab"] * (n % 2) for n in (1, 3, 47, 49, 130)] + [[]]
+    want = []
+    for words in texts_:
+        tops = [logit(words[i : i + toxicity.WIDTH]) for i in toxicity.window_starts(len(words))]
+        want.append(s(net.slope * max(tops, default=p["bias"][0]) + net.shift))
+    assert np.allclose(toxicity.Scorer(net).scores(texts_), want, atol=1e-4)
+
+
+def test_accuracy_on_held_out_labels(spark):
+    """Labelled documents of the fold that is never learnt from; most are of label 0, so both kinds of error are bounded."""
+    at = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = toxicity.score_toxicity(docs, labels, fold(F.col("doc_id"), 5) != 0).where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").select("score", "toxic").collect()
+    said_, true = np.array([r.score >= 0.5 for r in got]), np.array([r.toxic == 1 for r in got])
+    assert len(got) > 500 and true.sum() > 20
+    assert np.mean(said_ == true) > 0.93 and said_[true].mean() > 0.7 and said_[~true].mean() < 0.05
+
+
+def test_long_texts_do_not_use_up_the_sample(spark):
+    docs = spark.createDataFrame([(i, "w " * (9000 if i % 4 else 5)) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    got = toxicity.labelled_sample(docs, labels.withColumn("toxic", F.lit(0)), F.lit(True), (10, 10), 8000)
+    assert len(got) == 10 and all(len(t) == 10 for t, _ in got)
+
+
 # WARC
 
 
@@ -488,32 +579,102 @@ def test_archive_of_odd_pages(spark):
 # Chat
 
 
+def said(spark, *messages):
+    return spark.createDataFrame([(*m, "own", "own") for m in messages], "conv_id long, turn long, role string, text string, j string, target string")
+
+
+def calling(*calls):
+    return json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in calls]})
+
+
+SCHEMAS = """SELECT 'add' AS name, array('a', 'b') AS required, map('a', 'integer', 'b', 'string') AS types UNION ALL SELECT 'say', array(), map('t', 'string')
+  UNION ALL SELECT 'any', array(), map('n', 'number', 'i', 'integer', 'b', 'boolean', 'o', 'object', 'l', 'array', 's', 'string')"""
+
+
 def test_tool_calls(spark):
-    call = lambda *cs: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in cs]})
-    messages = [
+    df = said(
+        spark,
         (1, 0, "user", "plain"),
-        (1, 1, "assistant", call(("x", "add", {"b": "2", "a": "1"}), ("y", "add", {"a": "$x", "b": "z"}))),
+        (1, 1, "assistant", calling(("x", "add", {"b": "2", "a": 1}), ("y", "add", {"a": "$x", "b": "z"}))),
         (1, 2, "tool", json.dumps({"tool_call_id": "x", "content": 'say "3"\n'})),
         (1, 3, "tool", json.dumps({"tool_call_id": "x", "content": "again"})),
-        (1, 4, "assistant", call(("p", "say", {"t": "$q"}), ("q", "say", {"t": "$p"}), ("r", "say", {"t": "$y"}), ("x", "add", {}))),
-        (2, 0, "assistant", call(("x", "none", {}), ("n", "add", {"a": None, "b": "1"}), ("e", "add", {"a": "1", "b": "1", "c": "1"}))),
+        (1, 4, "assistant", calling(("p", "say", {"t": "$q"}), ("q", "say", {"t": "$p"}), ("r", "say", {"t": "$y"}), ("x", "add", {}))),
+        (2, 0, "assistant", calling(("x", "none", {}), ("n", "add", {"a": None, "b": "1"}), ("e", "add", {"a": 1, "b": "1", "c": "1"}))),
         (3, 0, "assistant", None),
         (3, 1, "assistant", "{not json"),
-    ]
-    schemas = spark.sql("SELECT 'add' AS name, array('a', 'b') AS required, map('a', 'integer', 'b', 'string') AS types UNION ALL SELECT 'say', array(), map('t', 'string')")
-    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    )
+    schemas = spark.sql(SCHEMAS)
     got = {(r["conv_id"], r["call_id"]): r for r in rows(chat.link_tool_calls(*chat.parse(df), schemas))}
     brief = {k: (r["level"], r["n_results"], r["problem"]) for k, r in got.items()}
     assert brief == {
         (1, "x"): (0, 2, None), (1, "y"): (1, 0, "wrong type"), (1, "p"): (None, 0, None), (1, "q"): (None, 0, None), (1, "r"): (2, 0, None),
         (2, "x"): (0, 0, "unknown tool"), (2, "n"): (0, 0, "missing argument"), (2, "e"): (0, 0, "unexpected argument"),
     }
-    assert got[1, "x"]["json"] == '{"arguments":{"a":"1","b":"2"},"id":"x","name":"add","result":"say \\"3\\"\\n"}'
+    assert got[1, "x"]["json"] == '{"arguments":{"a":1,"b":"2"},"id":"x","name":"add","result":"say \\"3\\"\\n"}'
     assert json.loads(got[1, "x"]["json"])["result"] == 'say "3"\n'
     empty = df.where("false")
     assert chat.link_tool_calls(*chat.parse(empty), schemas).count() == 0
 
 
+def test_arguments_keep_their_types(spark):
+    """A value's JSON type decides, keys are in order at every depth, repeated keys are refused, and text of an object is read."""
+    values = {"n": [1, 2.5, 1e300, -3], "i": [0, 7, 10**25, 2.0], "b": [True, False], "o": [{}, {"z": [1, {"b": 1, "a": None}], "a": "é"}], "l": [[], [1, "x"]], "s": ["", "7", "true", "{}"]}
+    kind = {"n": (int, float), "i": (int,), "b": (bool,), "o": (dict,), "l": (list,), "s": (str,)}
+    calls = [(f"{k}-{other}-{i}", k, v) for k in values for other, vs in values.items() for i, v in enumerate(vs)]
+
+    def good(k, v):
+        return (isinstance(v, bool) == (k == "b")) and (isinstance(v, kind[k]) or k == "i" and isinstance(v, float) and v == int(v) and v < 1e300)
+
+    def plain(v):
+        return int(v) if isinstance(v, float) and v == int(v) and v < 1e300 else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else v
+
+    raw = '{"tool_calls":[{"id":"twice","name":"any","arguments":{"n":1,"n":2}},{"id":"deep","name":"any","arguments":{"o":{"k":1,"k":1}}},{"id":"text","name":"any","arguments":"{\\"s\\": \\"$n-n-0\\"}"},{"id":"list","name":"any","arguments":[1]},{"id":"bad","name":"any","arguments":"{"},{"id":"none","name":"any"},{"id":"own","function":{"name":"any","arguments":"{\\"l\\":[{\\"x\\":\\"$text\\"}]}"}}]}'
+    df = said(spark, (1, 0, "assistant", calling(*((i, "any", {k: v}) for i, k, v in calls))), (1, 1, "assistant", raw))
+    got = {r["call_id"]: r for r in rows(chat.link_tool_calls(*chat.parse(df), spark.sql(SCHEMAS)))}
+    for i, k, v in calls:
+        assert got[i]["problem"] == (None if good(k, v) else "wrong type"), i
+        shown = json.loads(got[i]["json"])["arguments"]
+        assert shown == {k: v}
+        if v != 1e300:
+            assert got[i]["json"].startswith('{"arguments":' + json.dumps({k: plain(v)}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + ",")
+    assert [got[i]["problem"] for i in ("twice", "deep", "list", "bad")] == ["arguments are no object"] * 4
+    assert [(got[i]["problem"], got[i]["level"]) for i in ("text", "none", "own")] == [(None, 1), (None, 0), (None, 2)]
+    assert json.loads(got["twice"]["json"])["arguments"] == '{"n":1,"n":2}'
+
+
+def plain_levels(needs):
+    """call -> level, None in or above a circle, by peeling."""
+    level, left = {}, {c: {x for x in n if x in needs} for c, n in needs.items()}
+    while True:
+        new = {c: max((level[x] + 1 for x in n), default=0) for c, n in left.items() if c not in level and all(x in level for x in n)}
+        if not new:
+            return {c: level.get(c) for c in needs}
+        level |= new
+
+
+def test_levels(spark):
+    """A chain of 1,000 that ends in a circle's reach or not, ladders of calls with two needs, circles, and random needs."""
+    rng = np.random.default_rng(4)
+    graphs = {
+        1: {f"c{i}": [f"c{i - 1}"] if i else ["gone"] for i in range(1000)},
+        2: {"a": ["b"], "b": ["c"], "c": ["a"], "d": ["c"], "e": ["d", "z"], "z": [], "y": ["z", "z"], "s": ["s"]},
+        3: {f"l{i}": [f"l{i - 1}", f"l{max(0, i - 2)}"] if i else [] for i in range(6)} | {f"m{i}": [f"m{i - 1}"] if i else ["l5"] for i in range(9)} | {"top": ["m8", "l2"]},
+        4: {f"r{i}": [f"r{j}" for j in rng.integers(0, max(1, i), rng.integers(0, 3)) if j < i] for i in range(40)},
+    }
+    messages = [(g, 0, "assistant", calling(*((c, "any", {"l": [f"${x}" for x in n]}) for c, n in needs.items()))) for g, needs in graphs.items()]
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in rows(chat.link_tool_calls(*chat.parse(said(spark, *messages)), spark.sql(SCHEMAS)))}
+    assert got == {(g, c): v for g, needs in graphs.items() for c, v in plain_levels(needs).items()}
+
+
+def test_calls_of_odd_tables(spark):
+    calls = [(1, "a", 0, 0, "say", None), (1, "a", 0, 0, "say", None), (None, "a", 0, 0, "say", "{}"), (1, None, None, None, None, ""), (2, "", 0, 0, "", '{"t":"' + "x" * 300_000 + '"}'), (2, "a", 1, 0, "say", "{}"), (2, "a", 0, 1, "say", '{"t":"z"}')]
+    results = [(1, "a", 3, None), (1, "a", 3, None), (None, "a", 1, "x"), (1, None, 1, "x"), (2, "", 1, "")]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, idx int, name string, arguments string").withColumns({"canonical": F.lit(1), "level": F.lit(2), "found": F.lit(3)})
+    answers = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string").withColumn("r", F.lit(1))
+    got = Counter((r["conv_id"], r["call_id"], r["turn"], r["n_results"], r["problem"]) for r in rows(chat.link_tool_calls(df, answers, spark.sql(SCHEMAS))))
+    assert got == {(1, "a", 0, 2, None): 1, (None, "a", 0, 0, None): 1, (1, None, None, 0, "unknown tool"): 1, (2, "", 0, 1, "unknown tool"): 1, (2, "a", 0, 0, None): 1}
+
+
 # Long words
 
 
@@ -567,6 +728,19 @@ def test_empty_table(none, name):
     assert rows(OPERATORS[name](none)) == []
 
 
+def test_bytes_that_are_not_utf8(spark):
+    """They count as U+FFFD where characters count, stop no operator or stage, and stay in texts that nothing is done to."""
+    raw = spark.sql("SELECT 1L AS doc_id, cast(X'61FF20ED A080' AS string) AS text, 's' AS source, 3L AS n_chars UNION ALL SELECT 2L, cast(concat(X'FFC3', binary(' password=b7db7aa4a5fcc78305 ')) AS string), 's', 0L".replace("ED A0", "EDA0"))
+    for name, run in OPERATORS.items():
+        assert {r["doc_id"] for r in rows(run(raw))} == {1, 2}, name
+    got = {r["doc_id"]: r["word_chars"] for r in rows(quality.apply_rules(raw))}
+    assert got[1] == len(bytes.fromhex("61FFEDA080").decode("utf-8", "replace"))
+    for name, (stage, _) in STAGES.items():
+        kept = {r.doc_id: bytes(r.b) for r in stage(raw).select("doc_id", F.col("text").cast("binary").alias("b")).collect()}
+        assert kept[1] == bytes.fromhex("61FF20EDA080") if 1 in kept else name in ("toxicity", "decontamination"), name
+    assert kept[2] == "\ufffd\ufffd [SECRET] ".encode()
+
+
 STAGES = {
     "toxicity": (lambda d: toxicity.drop_toxic(d, d.sparkSession.sql("SELECT 5L AS doc_id, 1 AS toxic"), F.lit(True)), 10),
     "simhash": (simhash.keep_one, 7),
