@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinquery.llm.common import cut, emitted, free_name, kept, pairs, texts, word_list
+from skeinquery.llm.common import WORD_BYTES, cut, emitted, free_name, kept, pairs, texts, word_list
 
 SHINGLE = 5
 SLOTS = 1 << 21  # of 64 bits each: 16 MB
-BLOCK = 1 << 17  # words that a task hashes together; a longer text is a block of its own
-CACHED = 300_000  # distinct words whose hashes a task keeps
+BLOCK = 1 << 20  # bytes of texts that a task hashes together; a longer text is a block of its own
+SEGMENT = 1 << 20  # bytes of a running sum
 WINDOWS = pa.schema([("item", pa.string()), ("window", pa.binary()), ("size", pa.int32()), ("hashes", pa.list_(pa.int64()))])
 COUNTS = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
 HIT = pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("context", pa.binary())])
@@ -36,41 +38,68 @@ READ_DDL = "doc_id long, n_words long, digest binary, hits array<struct<hash:lon
 FOUND = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.binary())])
 
 
-class Hasher:
-    """64-bit hashes of words and of their shingles; word hashes are kept, up to a bound."""
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(known))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number, and of its inverse modulo 2 ** 64."""
+    base = 0x00000100000001B3
+    out = np.full((2, SEGMENT + 1), 1, np.uint64)
+    out[0, 1:], out[1, 1:] = base, pow(base, -1, 1 << 64)
+    return tuple(np.cumprod(out, axis=1, dtype=np.uint64))
 
-    def shingles(self, h: np.ndarray, size: int) -> np.ndarray:
-        """The hash of each run of `size` words, from the hashes of the words."""
-        out = np.full(max(0, len(h) - size + 1), size, np.uint64)
-        for k in range(size):
-            out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return out
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(folded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of a text in which all else is spaces, without an object a word.
+
+    A word's hash is a polynomial in its bytes, from running sums over a segment of the text that ends with a word.
+    """
+    text = np.frombuffer(folded, np.uint8)
+    space = np.r_[True, text == 32, True]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers()
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        begin = int(starts[at])
+        stop = int(np.searchsorted(ends, begin + SEGMENT, "right"))
+        if stop == at:  # a word longer than a segment
+            out[at] = xxhash.xxh64_intdigest(folded[begin : int(ends[at])])
+            at += 1
+            continue
+        part = text[begin : int(ends[stop - 1])].astype(np.uint64)
+        sums = np.r_[np.uint64(0), np.cumsum(part * up[: len(part)], dtype=np.uint64)]
+        s, e = starts[at:stop] - begin, ends[at:stop] - begin
+        out[at:stop] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * MIX)
+        at = stop
+    return starts, ends, out
+
+
+def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of `size` words, from the hashes of the words."""
+    out = np.full(max(0, len(h) - size + 1), size, np.uint64)
+    for k in range(size):
+        out = mixed(out ^ h[k : k + len(out)])
+    return out
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     """item, window (its words, spaced), size, hashes of its shingles: a row for each window of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for item, text in pairs(batch, "item", "text"):
                     words = word_list(text)
                     size = min(width, len(words))
                     k = min(SHINGLE, size)
-                    h = hasher.shingles(hasher.words(words), k).view(np.int64).tolist() if size else []
+                    h = shingle_hashes(word_hashes((text or b"").translate(WORD_BYTES))[2], k).view(np.int64).tolist() if size else []
                     for i in range(len(words) - size + 1 if size else 0):
                         yield item, b" ".join(words[i : i + size]), size, h[i : i + size - k + 1]
 
@@ -89,46 +118,59 @@ def filter_of(hashes: DataFrame) -> Broadcast:
     return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
-def passing(words: list[bytes], ends: np.ndarray, sizes: list[int], bits: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the shingles that pass the filter, in the words of texts that end before `ends`."""
-    h, places, hashes = hasher.words(words), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    last = np.repeat(ends, np.diff(ends, prepend=0))
+@dataclass
+class Block:
+    """Texts whose words lie one after the other, and the shingles among them that pass a filter, by place."""
+
+    docs: list[tuple]  # doc_id, text
+    folded: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray  # the first word of each text, and the end
+    places: np.ndarray
+    hashes: np.ndarray
+
+
+def block_of(docs: list[tuple], sizes: list[int], bits: np.ndarray) -> Block:
+    parts = [(text or b"").translate(WORD_BYTES) for _, text in docs]
+    folded = b" ".join(parts)
+    starts, ends, h = word_hashes(folded)
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in parts)]))
+    last = np.repeat(bounds[1:], np.diff(bounds))
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for k in sizes:
-        s = hasher.shingles(h, k)
-        hit = np.flatnonzero(bits[((s >> np.uint64(6)) & np.uint64(SLOTS - 1)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1))
+        s = shingle_hashes(h, k)
+        hit = np.flatnonzero(bits[((s >> np.uint64(6)) & np.uint64(SLOTS - 1)).view(np.int64)] >> (s & np.uint64(63)) & np.uint64(1))
         hit = hit[last[hit] - hit >= k]
         places.append(hit)
         hashes.append(s[hit])
-    return np.concatenate(places), np.concatenate(hashes)
+    at, found = np.concatenate(places), np.concatenate(hashes)
+    order = np.argsort(at, kind="stable")
+    return Block(docs, folded, starts, ends, bounds, at[order], found[order].view(np.int64))
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """(doc_id, text, words) of texts, some BLOCK words together."""
+def blocks(batches: Iterator[pa.RecordBatch], sizes: list[int], bits: np.ndarray) -> Iterator[Block]:
     held, size = [], 0
     for batch in batches:
         for doc, text in pairs(batch, "doc_id", "text"):
-            held.append((doc, text, word_list(text)))
-            size += len(held[-1][2])
-            if size >= BLOCK or len(held) >= 4096:
-                yield held
+            held.append((doc, text))
+            size += len(text or b"") + 1
+            if size >= BLOCK:
+                yield block_of(held, sizes, bits)
                 held, size = [], 0
     if held:
-        yield held
-
-
-def flat(block: list[tuple]) -> tuple[list[bytes], np.ndarray]:
-    return [w for _, _, words in block for w in words], np.cumsum([len(words) for _, _, words in block])
+        yield block_of(held, sizes, bits)
 
 
 def shingle_counts(docs: DataFrame, sizes: list[int], wanted: Broadcast, held: int = 200_000) -> DataFrame:
     """hash, n: how often all documents have each shingle that passes the filter; tasks combine up to `held` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = Hasher(), {}
+        counts: dict[int, int] = {}
 
         def rows() -> Iterator[tuple]:
-            for block in blocks(batches):
-                found, n = np.unique(passing(*flat(block), sizes, wanted.value, hasher)[1].view(np.int64), return_counts=True)
+            for block in blocks(batches, sizes, wanted.value):
+                found, n = np.unique(block.hashes, return_counts=True)
                 for h, k in zip(found.tolist(), n.tolist(), strict=True):
                     counts[h] = counts.get(h, 0) + k
                 if len(counts) > held:
@@ -154,21 +196,15 @@ def read_documents(docs: DataFrame, sizes: list[int], wanted: Broadcast, width:
     """doc_id, n_words, digest (MD5 of a text with hits), hits of each row of docs: prefix tokens, each with the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-
         def rows() -> Iterator[tuple]:
-            for block in blocks(batches):
-                words, ends = flat(block)
-                places, hashes = passing(words, ends, sizes, wanted.value, hasher)
-                order = np.argsort(places, kind="stable")
-                places, hashes = places[order], hashes[order].view(np.int64)
-                bounds = np.searchsorted(places, np.r_[0, ends])
-                for i, (doc, text, own) in enumerate(block):
-                    begin, hits = int(ends[i]) - len(own), []
-                    for p, h in zip((places[bounds[i] : bounds[i + 1]] - begin).tolist(), hashes[bounds[i] : bounds[i + 1]].tolist(), strict=True):
-                        left = max(0, p - width + 1)
-                        hits.append({"hash": h, "at": p, "lead": p - left, "context": b" ".join(own[left : p + width])})
-                    yield doc, len(own), hashlib.md5(text, usedforsecurity=False).digest() if hits else None, hits
+            for x in blocks(batches, sizes, wanted.value):
+                of = np.searchsorted(x.places, x.bounds)
+                for i, (doc, text) in enumerate(x.docs):
+                    first, end, hits = int(x.bounds[i]), int(x.bounds[i + 1]), []
+                    for p, h in zip(x.places[of[i] : of[i + 1]].tolist(), x.hashes[of[i] : of[i + 1]].tolist(), strict=True):
+                        left, right = max(first, p - width + 1), min(end, p + width)
+                        hits.append({"hash": h, "at": p - first, "lead": p - left, "context": x.folded[x.starts[left] : x.ends[right - 1]]})
+                    yield doc, end - first, hashlib.md5(text, usedforsecurity=False).digest() if hits else None, hits
 
         return emitted(READ, rows(), 1024)
 
@@ -182,7 +218,7 @@ def verified(read: DataFrame, prefix: DataFrame) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for row, digest, start, skip, size, context, window in pairs(batch, "row", "digest", "start", "skip", "size", "context", "window"):
-                    if context.split(b" ")[skip : skip + size] == window.split(b" "):
+                    if context.split()[skip : skip + size] == window.split(b" "):
                         yield row, digest, start, start + size, window
 
         return emitted(FOUND, rows())

@@ -319,6 +319,19 @@ def test_contamination_with_hot_passages(spark):
     assert got == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"ab", b"  ", b" ", b"ba", b"abcabcabcabc", b"\xc3\xa9"]), max_size=40).map(b"".join))
+def test_word_hashes(text):
+    decontaminate.SEGMENT, keep = 8, decontaminate.SEGMENT
+    decontaminate.powers.cache_clear()
+    starts, ends, h = decontaminate.word_hashes(text)
+    decontaminate.SEGMENT = keep
+    decontaminate.powers.cache_clear()
+    words = text.split()
+    assert [text[s:e] for s, e in zip(starts, ends, strict=True)] == words
+    assert all((a == b) == (x == y) for a, x in zip(words, h, strict=True) for b, y in zip(words, h, strict=True))
+
+
 def test_a_full_filter_changes_nothing(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = Counter(tuple(r.values()) for r in rows(decontaminate.find_contamination(docs, items)))
