@@ -22,7 +22,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinquery.llm.common import cut, emitted, fold, pairs, record_batch, shared_path, texts
+from skeinquery.llm.common import emitted, fold, pairs, record_batch, shared_path, texts
 
 END = b" "  # no word holds a space
 BLOCK = 1 << 21  # tokens that a task holds at a time
@@ -174,6 +174,11 @@ def squeezed(x: np.ndarray) -> bytes:
     return planes.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Non-negative float32 numbers to 17 significant bits: what rounds hand on of rare words, a quarter smaller."""
+    return ((np.ascontiguousarray(x, np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
 def expanded(data: bytes, kind: type) -> np.ndarray:
     planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
@@ -239,7 +244,7 @@ def encoded(source: DataFrame, symbols: Broadcast, bits: int) -> DataFrame:
             ids[at] = len(head) + 1 + rank[-1 - ids[at]]
             for i in range(0, len(ids), PART):
                 yield record_batch(ROW, [(block, TEXTS, learned, i, squeezed(ids[i : i + PART]), None if i else docs)])
-            yield from emitted(ROW, ((bucket, ASKED, learned, block, keys[a:b].tobytes(), None) for bucket, a, b in spans(keys, bits)), 32)
+            yield from emitted(ROW, ((bucket, ASKED, learned, block, squeezed(keys[a:b]), None) for bucket, a, b in spans(keys, bits)), 32)
             block += 1
 
         held: dict[bool, list] = {y: [[], [], {}, 0] for y in (False, True)}
@@ -294,7 +299,7 @@ def learn(rows: DataFrame, model: Broadcast, states: int) -> DataFrame:
         out.append((-1, SUMS, True, block, np.concatenate([moves.ravel(), starts, emit[at:].sum(0)]).tobytes(), None))
         out += [(-2 - i, SUMS, True, block, emit[i : min(at, i + SLICE)].tobytes(), None) for i in range(0, at, SLICE)]
         for bucket, n in sizes:
-            out.append((bucket, COUNTS, True, block, squeezed(emit[at : at + n].astype(np.float32)), None))
+            out.append((bucket, COUNTS, True, block, squeezed(rounded(emit[at : at + n])), None))
             at += n
         return pa.Table.from_batches([record_batch(ROW, out)])
 
@@ -320,7 +325,7 @@ def exchange(rows: DataFrame, states: int, first: bool, told: bool) -> DataFrame
         sums, place = np.zeros((len(keys) + 1, states)), {}
         for r in rows:
             if r["kind"] == ASKED:
-                asked = np.frombuffer(r["data"], np.uint64)
+                asked = expanded(r["data"], np.uint64)
                 at = np.searchsorted(keys, asked)
                 there = np.append(keys, np.uint64(0))[at] == asked
                 place[r["source"]] = r["learned"], np.where(there & (at < len(keys)), at, len(keys))
@@ -330,7 +335,7 @@ def exchange(rows: DataFrame, states: int, first: bool, told: bool) -> DataFrame
         weights = sums + 1 / states
         if first:
             weights[:-1] = (n[:-1, None] + 1) / states * random_share(keys, states)
-        weights = weights.astype(np.float32)
+        weights = rounded(weights)
         out = []
         for block, (wanted, at) in place.items():
             w = squeezed(weights[at])
@@ -355,7 +360,9 @@ def score_texts(docs: DataFrame, training: Column, head: int = 20_000, states: i
     spark = docs.sparkSession
     source = texts(docs)
     learned = source.where(F.coalesce(training, F.lit(False)))
-    counts = cut(count_words(learned))
+    path = shared_path(spark, "hmm")
+    count_words(learned).write.parquet(f"{path}/counts")
+    counts = spark.read.schema("word binary, n long").parquet(f"{path}/counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.col("word") == F.lit(END)).select("n").first()
     top = frequent_words(counts.where(F.col("word") != F.lit(END)), head)
@@ -365,11 +372,11 @@ def score_texts(docs: DataFrame, training: Column, head: int = 20_000, states: i
     bits = max(4, math.ceil(math.log2(max(rest_n / (1 << 19), rest_v / (1 << 15), 1))))
     k = len(known)
 
-    path = shared_path(spark, "hmm")
     stored = lambda name: spark.read.schema(ROW_DDL).parquet(f"{path}/{name}")
     rows = source.withColumn("learned", F.coalesce(training, F.lit(False)))
     encoded(rows, symbols, bits).write.partitionBy("kind", "learned").parquet(f"{path}/texts")
     vocabulary(counts, symbols, bits).write.partitionBy("kind", "learned").parquet(f"{path}/words")
+    remove(spark, f"{path}/counts")
     of = lambda kind: stored("texts").where(F.col("kind") == kind)
 
     prior = np.append(np.full(k, 1 / states), (rest_v + 1) / states)  # add-one, the one in equal parts for the states
