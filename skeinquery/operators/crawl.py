@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinquery.functions import text as T
 from skeinquery.functions import urls as U
-from skeinquery.sources.shared import cut
+from skeinquery.sources.shared import shared_path
 
 #: The least length of a page, the lengths of an excerpt and the time after which a worker counts as gone.
 LEAST_LENGTH, EXCERPT, ALIVE_MS = 200, 300, 30_000
@@ -74,26 +74,28 @@ def robots_allowed(urls: DataFrame, robots: DataFrame) -> DataFrame:
     return rows.where(U.robots_allow(U.parsed(F.col("url"))["path"], F.col("disallowed"))).select("url", "domain")
 
 
-def crawl_fixpoint(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(url, depth): what `depth` rounds reach from seeds(url) over edges(url, link), with the first round that does.
+def crawl_fixpoint(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(url, depth): what `depth` rounds, or as many as add something, reach from seeds(url) over edges(url, link), with the first round that does.
 
-    Each round joins only the newest URLs with the edges and leaves out what is seen; it ends early when none is new.
+    Each round joins only the newest URLs with the edges and leaves out what is seen; it ends when none is new. A round writes
+    only what is new to the shared folder.
     """
-    seen = cut(seeds.select("url").where(U.passes_blacklist(F.col("url"))).distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for d in range(1, depth + 1):
-        links = edges.join(front.select("url"), "url").select(F.col("link").alias("url"))
-        front = cut(url_unseen(links, seen).withColumn("depth", F.lit(d)))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+    spark, path = seeds.sparkSession, shared_path(seeds.sparkSession, "crawl")
+    seen = lambda: spark.read.schema("url string, depth int").parquet(path)
+    front, d = seeds.select("url").where(U.passes_blacklist(F.col("url"))).distinct(), 0
+    while True:
+        front.write.parquet(f"{path}/depth={d}")
+        front = spark.read.schema("url string").parquet(f"{path}/depth={d}")
+        if front.isEmpty() or d == depth:
+            return seen()
+        links = edges.join(front, "url").select(F.col("link").alias("url"))
+        front, d = url_unseen(links, seen()), d + 1
 
 
 def crawl_stats(documents: DataFrame, content: DataFrame, urls: DataFrame, robots: DataFrame, queues: DataFrame) -> DataFrame:
-    """(documents, contents, urls, robots, domains, queued): rows of each store, and queues(domain, urls)'s URLs together."""
+    """(documents, contents, urls, robots, domains, queued): rows of each store, and the sites and URLs of queues(domain, url), whose rows are distinct."""
     n = lambda d: d.agg(F.count("*")).scalar()
-    out = queues.agg(F.count("*").alias("domains"), F.coalesce(F.sum(F.size("urls")), F.lit(0)).cast("long").alias("queued"))
+    out = queues.agg(F.count_distinct("domain").alias("domains"), F.count("*").alias("queued"))
     return out.select(n(documents).alias("documents"), n(content).alias("contents"), n(urls).alias("urls"), n(robots).alias("robots"), "domains", "queued")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinquery.sources.shared import cut
+from skeinquery.sources.shared import cut, kept
+
+SPLIT = 1_000_000  # edges of a node that go together; a node with more is dealt in parts
 
 
 def edges_clean(edges: DataFrame) -> DataFrame:
@@ -44,27 +48,50 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
 
 
+def deal_edges(graph: DataFrame, split: int = SPLIT) -> tuple[DataFrame, DataFrame, str]:
+    """Nodes (src, degree, parts), edges (src, part, dst) and the name of the edges' table, bucketed by src and part.
+
+    There are as many buckets as shuffle partitions, so a join of ranks with the table moves the ranks alone. The edges
+    of a node with more than `split` lie in several parts by a hash of their destination.
+    """
+    spark = graph.sparkSession
+    graph = kept(graph, "graph")
+    nodes = kept(out_degree(graph).withColumn("parts", F.ceil(F.col("degree") / split).cast("int")), "nodes")
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"edges_{uuid.uuid4().hex}"
+    flat = graph.join(nodes, "src").select("src", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part"), "dst")
+    flat.repartition(n, "src", "part").write.bucketBy(n, "src", "part").saveAsTable(name)
+    return nodes, spark.table(name), name
+
+
+def hand_on(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, alpha: float, epsilon: float) -> DataFrame:
+    """(node, rank) after a round: ranks meet their nodes, go to each part of a node's edges, and are summed by destination with partial sums."""
+    given = nodes.join(ranks.withColumnRenamed("node", "src"), "src").select("src", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.col("rank") / F.col("degree") + epsilon).alias("share"))
+    summed = edges.join(given.hint("shuffle_hash"), ["src", "part"]).groupBy(F.col("dst").alias("node"))
+    return summed.agg((F.sum("share") * alpha + (1 - alpha)).alias("rank"))
+
+
 def pagerank(edges: DataFrame, iterations: int = 20, alpha: float = 0.85, epsilon: float = 1e-9, repair: bool = True, self_loops: bool = False, cut_every: int = 5) -> DataFrame:
     """(node, rank) after `iterations` rounds; not normalised, a node starts at 1.
 
     A round: each edge hands its source's rank over its degree, plus epsilon; a node's rank is alpha times its sum plus
     1 - alpha. Nodes without incoming edges leave after the first round and then hand on nothing; 0 rounds give each
-    source 1. Edges are dealt by source once, with their degree, and kept in the shared folder; each round joins the
-    ranks to them and sums by destination with partial sums. Lineage is cut every `cut_every` rounds.
+    source 1. Edges are dealt once, into a bucketed table that is dropped at the end; rounds shuffle ranks and partial
+    sums only. Lineage is cut every `cut_every` rounds, and the result is kept in the shared folder.
     """
     graph = sink_repair(edges) if repair else edges_clean(edges)
     graph = graph if self_loops else drop_self_loops(graph)
-    ranks = graph.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0))
     if iterations <= 0:
-        return ranks
-    flat = cut(graph.join(out_degree(graph), "src"))
-    ranks = flat.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0))
-    for i in range(1, iterations + 1):
-        given = flat.join(ranks.withColumnRenamed("node", "src"), "src").select("dst", (F.col("rank") / F.col("degree") + epsilon).alias("part"))
-        ranks = given.groupBy(F.col("dst").alias("node")).agg((F.sum("part") * alpha + (1 - alpha)).alias("rank"))
-        if i % cut_every == 0 and i < iterations:
-            ranks = cut(ranks)
-    return ranks
+        return graph.select(F.col("src").alias("node")).distinct().withColumn("rank", F.lit(1.0))
+    nodes, flat, name = deal_edges(graph)
+    try:
+        ranks = nodes.select(F.col("src").alias("node"), F.lit(1.0).alias("rank"))
+        for i in range(1, iterations + 1):
+            ranks = hand_on(nodes, flat, ranks, alpha, epsilon)
+            if i % cut_every == 0 and i < iterations:
+                ranks = cut(ranks)
+        return kept(ranks, "ranks")
+    finally:
+        edges.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def pagerank_basic(edges: DataFrame, iterations: int = 2) -> DataFrame:

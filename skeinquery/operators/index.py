@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skeinquery.functions import text as T
+from skeinquery.sources.shared import kept
 
 CHUNK = 2500
 
@@ -45,9 +46,11 @@ def num_docs(tf: DataFrame) -> DataFrame:
     return tf.select("docid").distinct().agg(F.count("*").alias("n"))
 
 
-def term_map(tf: DataFrame) -> DataFrame:
-    """(word, occ map<docid, tf>, corpus_freq). A map holds all documents of a word: for display; the index does not use it."""
-    return tf.groupBy("word").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("docid", "tf")))).alias("occ"), F.sum("tf").alias("corpus_freq"))
+def term_map(tf: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(word, part, occ map<docid, tf>, corpus_freq); a word's documents are dealt by hash into maps of about `chunk`."""
+    words = tf.groupBy("word").agg(F.sum("tf").alias("corpus_freq"), F.ceil(F.count("*") / chunk).alias("parts"))
+    rows = tf.join(words, "word").withColumn("part", F.pmod(F.xxhash64("docid"), "parts"))
+    return rows.groupBy("word", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("docid", "tf")))).alias("occ"), F.max("corpus_freq").alias("corpus_freq"))
 
 
 def tf_normalized(tf: DataFrame) -> DataFrame:
@@ -59,11 +62,13 @@ def tf_normalized(tf: DataFrame) -> DataFrame:
 def tfidf(tf: DataFrame) -> DataFrame:
     """(word, docid, normalized_tf, tf, corpus_freq, idf_count, idf, tfidf).
 
-    Statistics of a word come from one grouping with partial sums and join back on the word; the join is skewed by
-    common words only on the side that the engine can split.
+    Counts are kept in the shared folder first, so texts are tokenised once for all that follows. Statistics of a word
+    come from one grouping with partial sums and join back on the word; the join is skewed by common words only on the
+    side that the engine can split.
     """
-    words = tf.groupBy("word").agg(F.sum("tf").alias("corpus_freq"), F.count("*").alias("idf_count"))
-    out = tf_normalized(tf).join(words, "word").withColumn("idf", T.idf(num_docs(tf).scalar(), F.col("idf_count")))
+    own = kept(tf_normalized(tf), "tf")
+    words = own.groupBy("word").agg(F.sum("tf").alias("corpus_freq"), F.count("*").alias("idf_count"))
+    out = own.join(words, "word").withColumn("idf", T.idf(num_docs(own).scalar(), F.col("idf_count")))
     return out.withColumn("tfidf", F.col("idf") * F.col("normalized_tf")).select("word", "docid", "normalized_tf", "tf", "corpus_freq", "idf_count", "idf", "tfidf")
 
 
@@ -77,8 +82,9 @@ def postings_ranked(weights: DataFrame, chunk: int = CHUNK, hot: int = 100_000)
 
     A word of more than `hot` documents is ranked in slices: by its tfidf in 1024 steps and by the first two characters
     of the docid, an order that agrees with the final one. Counts of the slices give each its offset, so no task sorts
-    all documents of a common word.
+    all documents of a common word. Weights are kept in the shared folder first, as they are read twice.
     """
+    weights = kept(weights.select("word", "docid", "normalized_tf", "tfidf", "idf", "idf_count"), "weights")
     step = F.when(F.col("idf") > 0, F.floor((F.col("normalized_tf") - 0.5) * 2048)).otherwise(0).cast("int")  # idf 0: all tie
     is_hot = F.col("idf_count") > hot
     sliced = weights.select("word", "docid", "tfidf", "idf", F.when(is_hot, step).otherwise(0).alias("step"), F.when(is_hot, F.substring("docid", 1, 2)).otherwise("").alias("head"), is_hot.alias("hot"))

@@ -23,37 +23,37 @@ def term_weight(idf: Column, times: Column, repeat_mode: str = "reference") -> C
     return idf * times * F.pow(F.lit(2.0), times - 1) if repeat_mode == "reference" else idf * times
 
 
-def search_and(postings: DataFrame, query: str, repeat_mode: str = "reference") -> DataFrame:
-    """(docid, score): documents in the first chunk of every term, with the weighted sum of their tfidf.
+def search_and(postings: DataFrame, query: str, repeat_mode: str = "reference", chunks: int | None = 1, lemma: Callable[[str], str] = lambda w: w) -> DataFrame:
+    """(docid, score): documents in the first `chunks` of every term (all of them for None), with the weighted sum of their tfidf.
 
     postings(word, idf, rank, doc_list). Words and chunk are filters on stored columns and reach the scan; a term that
     is missing leaves no document.
     """
-    terms = query_terms(query)
+    terms = query_terms(query, lemma)
     if not terms:
         return postings.select(F.lit("").alias("docid"), F.lit(0.0).alias("score")).limit(0)
     times = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv))
-    rows = postings.where((F.col("rank") == 1) & F.col("word").isin(*terms))
+    rows = postings.where(F.col("word").isin(*terms) & (F.lit(True) if chunks is None else F.col("rank") <= chunks))
     rows = rows.select("word", term_weight(F.col("idf"), times[F.col("word")], repeat_mode).alias("weight"), F.explode("doc_list").alias("d"))
     rows = rows.groupBy("d.docid").agg(F.countDistinct("word").alias("n"), F.sum(F.col("d.tfidf") * F.col("weight")).alias("score"))
     return rows.where(F.col("n") == len(terms)).select("docid", "score")
 
 
-def search_ranked(postings: DataFrame, ranks: DataFrame, query: str, k: int = 10, missing_rank: float | None = None, repeat_mode: str = "reference", places: int = 6) -> DataFrame:
+def search_ranked(postings: DataFrame, ranks: DataFrame, query: str, k: int = 10, missing_rank: float | None = None, repeat_mode: str = "reference", places: int = 6, chunks: int | None = 1, lemma: Callable[[str], str] = lambda w: w) -> DataFrame:
     """(docid, score): the k best of search_and plus page rank(node, rank), by the rounded score, then docid.
 
     A document without a rank is left out, unless missing_rank gives it one.
     """
-    found = search_and(postings, query, repeat_mode)
+    found = search_and(postings, query, repeat_mode, chunks, lemma)
     rank = ranks.select(F.col("node").alias("docid"), "rank")
     joined = found.join(rank, "docid", "inner" if missing_rank is None else "left")
     total = F.col("score") + (F.col("rank") if missing_rank is None else F.coalesce("rank", F.lit(float(missing_rank))))
     return joined.select("docid", F.round(total, places).alias("score")).orderBy(F.desc("score"), "docid").limit(k)
 
 
-def search_results(postings: DataFrame, ranks: DataFrame, documents: DataFrame, query: str, k: int = 10, missing_rank: float | None = None, repeat_mode: str = "reference") -> DataFrame:
+def search_results(postings: DataFrame, ranks: DataFrame, documents: DataFrame, query: str, k: int = 10, missing_rank: float | None = None, repeat_mode: str = "reference", chunks: int | None = 1, lemma: Callable[[str], str] = lambda w: w) -> DataFrame:
     """The k best with the columns of documents(id, …), in order; k rows meet the documents, so these are not shuffled."""
-    best = search_ranked(postings, ranks, query, k, missing_rank, repeat_mode)
+    best = search_ranked(postings, ranks, query, k, missing_rank, repeat_mode, chunks=chunks, lemma=lemma)
     return documents.join(F.broadcast(best.withColumnRenamed("docid", "id")), "id").orderBy(F.desc("score"), "id")  # k rows
 
 

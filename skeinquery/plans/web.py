@@ -149,7 +149,8 @@ def batch_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    wanted = pages.where("page_id % 3 = 0").select("url").unionByName(spark.sql("SELECT 'http://nowhere.example/' AS url"))  # noqa: S608
+    linked = crawl.extract_links(pages).select(F.col("link").alias("url"))
+    wanted = pages.select("url").unionByName(linked).unionByName(spark.sql("SELECT 'http://nowhere.example/' AS url"))
     return crawl.fetch_pages(wanted, pages).select("url", T.md5_hex(F.col("html")).alias("md5"))
 
 
@@ -256,8 +257,9 @@ def top_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.postings(weights(spark, sf_dir))
-    return rows.select("word", F.round("idf", 6).alias("idf"), F.posexplode("doc_list").alias("pos", "d")).select("word", "idf", "pos", "d.docid", F.round("d.tfidf", 6).alias("tfidf"))
+    """Whole lists, a row for each document with its place."""
+    rows = index.postings_ranked(weights(spark, sf_dir))
+    return rows.select("word", F.round("idf", 6).alias("idf"), (F.col("place") - 1).cast("int").alias("pos"), "docid", F.round("tfidf", 6).alias("tfidf"))
 
 
 @query
@@ -393,7 +395,7 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def url_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return crawl.url_unseen(pages.select("url"), pages.where("page_id % 2 = 0").select("url"))
+    return crawl.url_unseen(crawl.extract_links(pages).select(F.col("link").alias("url")), pages.select("url"))
 
 
 @query
@@ -418,7 +420,7 @@ def crawl_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    queues = crawl.extract_links(pages).groupBy("domain").agg(F.collect_set("link").alias("urls"))
+    queues = crawl.extract_links(pages).select("domain", F.col("link").alias("url")).distinct()
     return crawl.crawl_stats(pages, crawl.content_dedup(pages, "page_id", "html"), pages.select("url").distinct(), sites(pages), queues)
 
 
@@ -431,7 +433,7 @@ def crawl_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crawl_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.sink_repair(trade(spark, sf_dir)).select(F.col("src").alias("url"), F.col("dst").alias("link"))
-    return crawl.crawl_fixpoint(spark.sql("SELECT 'p1' AS url"), cut(edges), 3)
+    return crawl.crawl_fixpoint(spark.sql("SELECT 'p1' AS url"), cut(edges))
 
 
 # Streams

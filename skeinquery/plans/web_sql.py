@@ -67,7 +67,7 @@ SQL: dict[str, str] = {
     "row_counts": "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'lineitem', count(*) FROM lineitem",
     "kv_get": "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 42",
     "batch_get": "SELECT doc_id, lang, source FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)",
-    "fetch_pages": "SELECT url, md5(html) AS md5 FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
+    "fetch_pages": "SELECT url, md5(html) AS md5 FROM pages",
     "kv_items": """SELECT '{"doc_id":{"N":"' || doc_id || '"},"lang":{"S":"' || lang || '"},"source":{"S":"' || source || '"}}' AS item FROM documents""",
     "put_new": "SELECT DISTINCT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
     "html_visible_text": rf"SELECT page_id, word, count(*) AS n FROM (SELECT page_id, unnest(regexp_split_to_array(lower({VISIBLE}), {SPACES})) AS word FROM pages) WHERE word <> '' GROUP BY ALL",
@@ -116,7 +116,7 @@ SELECT page_id, u.scheme AS scheme, u.host AS host, coalesce(try_cast(nullif(u.p
     "doc_meta": rf"""SELECT md5(url) AS id, url, {BASE} AS domain, {TITLE} AS title, substring(trim(regexp_replace({VISIBLE}, '[ \t\n\x0B\f\r]+', ' ', 'g')), 1, 300) AS doc_excerpt,
   length(html)::BIGINT AS length, len({HREFS})::BIGINT AS num_links, md5(html) AS content_hash FROM pages""",
     "content_dedup": "SELECT min(doc_id) AS doc_id, md5(text) AS md5 FROM documents GROUP BY md5(text)",
-    "url_unseen": "SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) AND NOT contains(url, 'wiki') AND NOT contains(url, 'tumblr') AND NOT contains(url, 'wordpress')",
+    "url_unseen": f"WITH {LINKS} SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM pages) AND NOT (contains(link, 'wiki') AND NOT contains(link, 'en.wikipedia')) AND NOT contains(link, 'wordpress') AND NOT contains(link, 'stackexchange') AND NOT contains(link, 'tumblr')",
     "robots_rules": f"WITH {SITES} SELECT domain, CASE WHEN even THEN '/en' ELSE '/de/' END AS disallowed, CASE WHEN even THEN 5 END::INTEGER AS delay FROM sites",
     "robots_allowed": rf"""WITH p AS (SELECT url, {BASE} AS domain, regexp_extract(url, '^https?://[^/]*(/.*)$', 1) AS path FROM pages)
 SELECT url, domain FROM p WHERE NOT starts_with(path, CASE WHEN length(domain) % 2 = 0 THEN '/en' ELSE '/de/' END)""",
@@ -124,12 +124,11 @@ SELECT url, domain FROM p WHERE NOT starts_with(path, CASE WHEN length(domain) %
     "crawl_stats": f"""WITH {LINKS} SELECT (SELECT count(*) FROM pages) AS documents, (SELECT count(DISTINCT html) FROM pages) AS contents, (SELECT count(DISTINCT url) FROM pages) AS urls,
   (SELECT count(DISTINCT {BASE}) FROM pages) AS robots, count(DISTINCT domain) AS domains, (SELECT count(*) FROM (SELECT DISTINCT domain, link FROM links)) AS queued FROM links""",
     "crawl_rate": "SELECT coalesce(sum(s_suppkey), 0)::BIGINT AS total, (coalesce(sum(s_suppkey), 0) // 91)::BIGINT AS rate FROM supplier WHERE s_suppkey * 1000 <= 30000",
-    "crawl_fixpoint": f"""WITH {TRADE}, {REPAIRED},
-d1 AS (SELECT DISTINCT dst AS url FROM repaired WHERE src = 'p1'),
-d2 AS (SELECT DISTINCT dst AS url FROM repaired SEMI JOIN d1 ON src = url WHERE dst <> 'p1' AND dst NOT IN (SELECT url FROM d1)),
-d3 AS (SELECT DISTINCT dst AS url FROM repaired SEMI JOIN d2 ON src = url WHERE dst <> 'p1' AND dst NOT IN (SELECT url FROM d1) AND dst NOT IN (SELECT url FROM d2))
-SELECT 'p1' AS url, 0::INTEGER AS depth UNION ALL SELECT url, 1 FROM d1 UNION ALL SELECT url, 2 FROM d2 UNION ALL SELECT url, 3 FROM d3""",
+    "crawl_fixpoint": f"""WITH RECURSIVE {TRADE}, {REPAIRED},
+reach AS (SELECT 'p1' AS url, 0::INTEGER AS depth UNION SELECT dst, depth + 1 FROM reach JOIN repaired ON src = url WHERE depth < 40)
+SELECT url, min(depth)::INTEGER AS depth FROM reach GROUP BY url""",
     "stream_content_dedup": "SELECT DISTINCT md5(html) AS md5 FROM pages",
     "stream_link_filter": f"WITH {LINKS} SELECT DISTINCT link AS url FROM links WHERE NOT (contains(link, 'wiki') AND NOT contains(link, 'en.wikipedia')) AND NOT contains(link, 'wordpress') AND NOT contains(link, 'stackexchange') AND NOT contains(link, 'tumblr')",
     "stream_crawl_step": f"WITH {PAGE_EDGES} SELECT src, dst FROM edges",
+    "route_fields": rf"SELECT page_id, domain, domain AS route_key, ('0x' || substr(md5(domain), 1, 8))::BIGINT % 8 AS route FROM (SELECT page_id, {BASE} AS domain FROM pages)",
 }

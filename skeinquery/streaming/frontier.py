@@ -27,7 +27,7 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
 def route_fields(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
     """rows with `route_key` (values joined by commas) and `route`, the number of the worker out of n that gets the key."""
     key = F.concat_ws(",", *(F.col(c).cast("string") for c in columns))
-    return rows.withColumn("route_key", key).withColumn("route", F.pmod(F.hash("route_key"), F.lit(n)))
+    return rows.withColumn("route_key", key).withColumn("route", F.pmod(F.conv(F.substring(X.md5_hex(F.col("route_key")), 1, 8), 16, 10).cast("long"), F.lit(n)))
 
 
 def grouped(rows: DataFrame, how: str, n: int, columns: list[str] | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ def frontier(requests: DataFrame, delay_ms: int = 0) -> DataFrame:
     """(domain, url, at_ms) of requests(domain, url, ts): when each URL may be fetched.
 
     A host has a queue, first in first out, and hands out a URL at most every delay_ms; times are event times, so a
-    replay gives the same answer. A host without URLs keeps only its next free time; no lock is shared between hosts.
+    replay of the same batches gives the same answer; order holds within a batch. A host without URLs keeps only its next free time; no lock is shared between hosts.
     """
 
     def serve(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -74,6 +74,35 @@ def test_pagerank(spark):
     assert abs(sum(r["rank"] for r in ten) - 3) < 1e-9
 
 
+def test_rounds_move_ranks_only(spark):
+    """Edges are read from their buckets; a hub's edges lie in parts; each round shuffles ranks to edges and sums to nodes."""
+    edges = spark.range(200).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst")).unionByName(spark.range(200).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("hub").alias("dst")))
+    nodes, flat, name = graph.deal_edges(edges, 50)
+    assert {r.src: r.parts for r in nodes.where("parts > 1").collect()} == {"hub": 4} and flat.where("src = 'hub'").select("part").distinct().count() == 4
+    start = nodes.select(F.col("src").alias("node"), F.lit(1.0).alias("rank"))
+    out = graph.hand_on(nodes, flat, start, 0.85, 0.0)
+    got = {r.node: round(r["rank"], 9) for r in out.collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = graph.hand_on(nodes, flat, start, 0.85, 0.0)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.sql(f"DROP TABLE {name}")
+    assert got == {"hub": round(0.15 + 0.85 * 200, 9)} | {f"n{i}": round(0.15 + 0.85 / 200, 9) for i in range(200)}
+    scan = next(i for i, line in enumerate(plan.splitlines()) if "Bucketed: true" in line)
+    join = max(i for i, line in enumerate(plan.splitlines()[:scan]) if "HashJoin" in line or "MergeJoin" in line)
+    assert not any("Exchange" in line for line in plan.splitlines()[join:scan])
+
+
+def test_an_index_tokenises_once(spark):
+    plan = index.postings_chunked(index.tfidf(index.term_freq(spark.createDataFrame(DOCS, "docid string, contents string"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(filter" not in plan and "split(" not in plan
+
+
+def test_search_reads_on(spark, weights):
+    postings = index.postings_chunked(weights, 1)
+    ask = lambda **k: [r.docid for r in search.search_and(postings, "dogs", lemma=lambda w: w.removesuffix("s"), **k).orderBy("docid").collect()]
+    assert (ask(), ask(chunks=2), ask(chunks=None)) == (["d3"], ["d2", "d3"], ["d1", "d2", "d3"])
+
+
 def test_pagerank_corner_cases(spark):
     loop = spark.createDataFrame([("x", "x"), ("a", "x")], "src string, dst string")
     assert {r.node: round(r["rank"], 6) for r in graph.pagerank(loop, 1, epsilon=0.0).collect()} == {"x": 1.0}
