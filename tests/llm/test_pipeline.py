@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from skeinquery.llm import packing, secrets, simhash, toxicity
@@ -44,16 +45,36 @@ def test_toxicity(spark, kept):
     assert set(texts(kept["toxicity"])) == {r.doc_id for r in scored if r.score < 0.5}
 
 
-def test_near_duplicates(kept):
-    before, after = texts(kept["toxicity"]), texts(kept["near_duplicates"])
-    codes = {i: simhash.fingerprint(t.encode()) for i, t in before.items()}
-    links = defaultdict(set)
-    for a in codes:
-        for b in codes:
-            if (codes[a] ^ codes[b]).bit_count() <= 3:
-                links[a].add(b)
+def plain_mix(x):
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> 33) * c % 2**64
+    return x ^ x >> 33
+
+
+def plain_print(hashes, salt):
+    hashes = {plain_mix(h ^ salt) for h in hashes}
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def plain_prints(text):
+    """Two SimHashes of the distinct words and four of the distinct five-word shingles, bit by bit."""
+    words = [xxhash.xxh64_intdigest(w) for w in text.encode().lower().split()]
+    if not words:
+        return [0] * 6
+    width, shingles = min(5, len(words)), set()
+    for i in range(len(words) - width + 1):
+        h = 0
+        for k in range(width):
+            h = (plain_mix(h ^ words[i + k]) + k) % 2**64
+        shingles.add(h)
+    salts = [0x9E3779B97F4A7C15 * k % 2**64 for k in range(1, 7)]
+    return [plain_print(words, x) for x in salts[:2]] + [plain_print(shingles, x) for x in salts[2:]]
+
+
+def smallest_reachable(ids, linked):
+    """The smallest id of each component of the pairs for which linked(a, b)."""
     seen, want = set(), set()
-    for i in sorted(codes):
+    for i in sorted(ids):
         if i not in seen:
             want.add(i)
             todo = [i]
@@ -61,10 +82,44 @@ def test_near_duplicates(kept):
                 x = todo.pop()
                 if x not in seen:
                     seen.add(x)
-                    todo += links[x]
+                    todo += [y for y in ids if y not in seen and linked(x, y)]
+    return want
+
+
+def near_copy(a, b):
+    bits = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+    return min(bits[:2]) <= 7 and sum(bits[2:]) <= 48
+
+
+def test_near_duplicates(kept):
+    before, after = texts(kept["toxicity"]), texts(kept["near_duplicates"])
+    codes = {i: plain_prints(t) for i, t in before.items()}
+    want = smallest_reachable(codes, lambda a, b: near_copy(codes[a], codes[b]))
     assert set(after) == want and all(after[i] == before[i] for i in after)
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_of_similarity_08_are_found(spark):
+    """Copies with more and more words changed, as a dense group, as pairs and among texts of common words."""
+    rng, rows = np.random.default_rng(5), []
+    for group in range(60):
+        base = [f"w{x}" for x in rng.zipf(1.3, 300) % 5000]
+        for copy in range(40 if group == 0 else 3):
+            words = list(base)
+            for at in rng.choice(300, copy % 8, replace=False):
+                words[at] = f"new{rng.integers(10**6)}"
+            rows.append((1000 * group + copy, " ".join(words)))
+    kept_ids = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), hot=16).collect()}
+    sets, codes = {i: shingles(t) for i, t in rows}, {i: plain_prints(t) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 300 and sum(near_copy(codes[a], codes[b]) for a, b in alike) >= 0.95 * len(alike)
+    assert kept_ids == smallest_reachable(codes, lambda a, b: near_copy(codes[a], codes[b])) >= {1000 * g for g in range(60)}
+
+
 def test_decontamination(spark, kept):
     items = [word_list(r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = {tuple(w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9))}
