@@ -62,6 +62,11 @@ def as_json(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct(*results.columns)).alias("answer"))
 
 
+def from_json(answers: DataFrame, schema: str) -> DataFrame:
+    """The columns of schema from answers(answer), as_json's inverse; nulls where an answer lacks them or is no JSON."""
+    return answers.select(F.from_json("answer", schema).alias("a")).select("a.*")
+
+
 def rank_of(ranks: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, rank) of ids(id): 0 for one without a rank."""
     return ids.select("id").join(ranks.select(F.col("node").alias("id"), "rank"), "id", "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))

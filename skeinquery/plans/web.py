@@ -104,7 +104,7 @@ def scan_rank_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unpack_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "packs")
     docs = corpus(spark, sf_dir).select(T.md5_hex(F.col("docid")).alias("id"), "contents")
-    sinks.write_packs(docs, path, 8)
+    sinks.write_packs(docs, path)
     out = readers.unpack(readers.packs(spark, path))
     return out.select("id", T.md5_hex(F.col("contents")).alias("md5"))
 
@@ -112,16 +112,63 @@ def unpack_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def blob_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus(spark, sf_dir).select(T.md5_hex(F.col("docid")).alias("id"), "contents")
-    return sinks.pack_offsets(docs, 1)
+    return sinks.pack_offsets(docs)
 
 
 @query
 def blob_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "packs")
     docs = corpus(spark, sf_dir).select(T.md5_hex(F.col("docid")).alias("id"), "contents")
-    sinks.write_packs(docs, path, 8)
+    sinks.write_packs(docs, path)
     packed = readers.packs(spark, path).withColumn("pack", F.regexp_extract("pack", r"pack=(\d+)", 1).cast("long"))
-    return readers.pack_slice(sinks.pack_offsets(docs, 8), packed).select("id", T.md5_hex(F.col("record")).alias("md5"))
+    return readers.pack_slice(sinks.pack_offsets(docs), packed).select("id", T.md5_hex(F.col("record")).alias("md5"))
+
+
+@query
+def scan_csv_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "csv")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("docid"), F.concat(F.lit("  "), "url").alias("url"))
+    rows.write.options(header=True, ignoreLeadingWhiteSpace=False).csv(path)
+    return readers.csv_trimmed(spark, path, "docid string, url string")
+
+
+@query
+def scan_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "seeds")
+    table(spark, sf_dir, "pages").select(F.concat(F.lit(" "), "url", F.lit("  ")).alias("value")).write.text(path)
+    return readers.seeds(spark, path)
+
+
+@query
+def append_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = shared_path(spark, "words"), table(spark, sf_dir, "documents")
+    for name in ("lang", "source"):
+        sinks.append_words(docs.select(F.col(name).alias("word")), path)
+    return spark.read.text(path).select(F.col("value").alias("word"))
+
+
+@query
+def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("long").alias("chars"))
+    return search.from_json(search.as_json(pages), "page_id long, url string, chars long")
+
+
+@query
+def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.concat(F.lit(" text/"), "lang", F.lit(" ; charset=utf-8"))
+    return table(spark, sf_dir, "documents").groupBy(crawl.content_type(header).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query
+def request_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", T.request_seconds(F.col("o_custkey"), F.col("o_orderkey") + F.col("o_custkey")).alias("seconds"))
+
+
+@query
+def worker_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = T.worker_list(F.concat(F.lit("["), "lang", F.lit(", http://"), "source", F.lit(",]")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(names).cast("long").alias("n"), F.array_join(names, " ").alias("workers"))
 
 
 @query

@@ -61,7 +61,18 @@ SQL: dict[str, str] = {
     "scan_parquet": f"{INDEX} SELECT word, round(max(idf), 6) AS idf, (place - 1) // 2500 + 1 AS rank, count(*) AS docs FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY tfidf DESC, docid DESC) AS place FROM weights) GROUP BY word, (place - 1) // 2500 + 1",
     "scan_rank_text": f"WITH {TRADE}, {ranked(2, '0.0e0', True)} SELECT node, round(rank, 6) AS rank FROM ranks",
     "unpack_blob": r"SELECT md5(doc_id::VARCHAR) AS id, md5(regexp_replace(text, '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]', ' ', 'g')) AS md5 FROM documents",
-    "blob_offsets": "WITH d AS (SELECT md5(doc_id::VARCHAR) AS id, (length(text) + 51)::BIGINT AS length FROM documents) SELECT id, 0::BIGINT AS pack, (sum(length) OVER (ORDER BY id) - length)::BIGINT AS start_idx, (sum(length) OVER (ORDER BY id))::BIGINT AS end_idx, length FROM d",
+    "blob_offsets": """WITH d AS (SELECT md5(doc_id::VARCHAR) AS id, (length(text) + 51)::BIGINT AS length FROM documents),
+b AS (SELECT *, ('0x' || substr(md5(id), 1, 8))::BIGINT % 64 AS bucket FROM d),
+r AS (SELECT *, (sum(length) OVER (PARTITION BY bucket ORDER BY id) - length)::BIGINT AS s FROM b),
+v AS (SELECT *, s // 100000000 AS volume, s - min(s) OVER (PARTITION BY bucket, s // 100000000) AS start_idx FROM r)
+SELECT id, volume * 64 + bucket AS pack, start_idx, start_idx + length AS end_idx, length FROM v""",
+    "scan_csv_trimmed": "SELECT page_id::VARCHAR AS docid, url FROM pages",
+    "scan_seeds": "SELECT trim(url) AS url FROM pages WHERE trim(url) <> ''",
+    "append_words": "SELECT DISTINCT lang AS word FROM documents UNION ALL SELECT DISTINCT source FROM documents",
+    "json_answers": "SELECT page_id, url, length(html)::BIGINT AS chars FROM pages",
+    "content_types": "SELECT 'text/' || lang AS type, count(*) AS n FROM documents GROUP BY lang",
+    "request_times": "SELECT o_orderkey, o_orderkey::DOUBLE / 1000e0 AS seconds FROM orders",
+    "worker_lists": "SELECT doc_id, 2::BIGINT AS n, 'http://' || lang || ' http://' || source AS workers FROM documents",
     "blob_slice": r"SELECT md5(doc_id::VARCHAR) AS id, md5('*startid' || md5(doc_id::VARCHAR) || '*' || chr(10) || text || chr(10) || '*endid*' || chr(10)) AS md5 FROM documents",
     "distinct_docnames": "SELECT DISTINCT source AS docname FROM documents",
     "row_counts": "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'lineitem', count(*) FROM lineitem",

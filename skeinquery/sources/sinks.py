@@ -43,24 +43,34 @@ def pack_records(docs: DataFrame) -> DataFrame:
     return docs.withColumn("record", F.concat(F.lit("*startid"), F.col("id"), F.lit("*\n"), F.coalesce("contents", F.lit("")), F.lit("\n*endid*\n")))
 
 
-def pack_offsets(docs: DataFrame, parts: int = 64) -> DataFrame:
-    """(id, pack, start_idx, end_idx, length): where each document of docs(id, contents) lies, in characters with marks.
+def placed(docs: DataFrame, parts: int, limit: int) -> DataFrame:
+    """id, record, pack, start_idx, end_idx, length of docs(id, contents).
 
-    Documents are dealt into `parts` packs by a hash of their id and follow each other by id, so the running sums are
-    over a pack, not over all documents; take enough parts that a pack stays under PACK_CHARS.
+    Documents are dealt into `parts` rows of packs by md5 of their id and follow each other by id; a row begins a new
+    pack at the first document that starts at or beyond each `limit` characters. A running sum covers one row of packs,
+    never all documents, so take more parts for more documents.
     """
-    sized = pack_records(docs).select("id", F.length("record").cast("long").alias("length"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("pack"))
-    so_far = Window.partitionBy("pack").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sized.withColumn("end_idx", F.sum("length").over(so_far)).select("id", "pack", (F.col("end_idx") - F.col("length")).alias("start_idx"), "end_idx", "length")
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(parts))
+    rows = pack_records(docs).select("id", "record", F.length("record").cast("long").alias("length"), bucket.alias("bucket"))
+    up_to_here = lambda *keys: Window.partitionBy(*keys).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("at", F.sum("length").over(up_to_here("bucket")) - F.col("length")).withColumn("volume", F.expr(f"`at` div {int(limit)}"))
+    start = F.col("at") - F.first("at").over(up_to_here("bucket", "volume"))
+    rows = rows.withColumn("start_idx", start).withColumn("pack", F.col("volume") * parts + F.col("bucket"))
+    return rows.select("id", "record", "pack", "start_idx", (F.col("start_idx") + F.col("length")).alias("end_idx"), "length")
 
 
-def write_packs(docs: DataFrame, path: str, parts: int = 64) -> None:
+def pack_offsets(docs: DataFrame, parts: int = 64, limit: int = PACK_CHARS) -> DataFrame:
+    """(id, pack, start_idx, end_idx, length): where each document of docs(id, contents) lies, in characters with marks."""
+    return placed(docs, parts, limit).select("id", "pack", "start_idx", "end_idx", "length")
+
+
+def write_packs(docs: DataFrame, path: str, parts: int = 64, limit: int = PACK_CHARS) -> None:
     """Documents as text, a folder pack=n for each pack, in the order that pack_offsets counts.
 
-    The writer's line end is the last character of a record.
+    The writer's line end is the last character of a record. A new pack begins after `limit` characters.
     """
-    rows = pack_records(docs).select("id", "record", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("pack"))
-    rows.repartition(parts, "pack").sortWithinPartitions("pack", "id").select("pack", F.expr("substring(record, 1, length(record) - 1)").alias("value")).write.partitionBy("pack").option("lineSep", "\n").text(path)
+    rows = placed(docs, parts, limit).sortWithinPartitions("pack", "start_idx")
+    rows.select("pack", F.expr("substring(record, 1, length(record) - 1)").alias("value")).write.partitionBy("pack").option("lineSep", "\n").text(path)
 
 
 def put_new(new: DataFrame, store: DataFrame, key: str) -> DataFrame:

@@ -174,6 +174,20 @@ def test_quality_and_fixpoint(spark):
     assert {(r.url, r.depth) for r in crawl.crawl_fixpoint(seeds, edges, 9).collect()} == {("http://a/", 0), ("http://b/", 1), ("http://c/", 2)}
 
 
+def test_packs_rotate(spark):
+    """A pack ends with the document that reaches the limit, and slices by offset give each record back."""
+    docs = spark.createDataFrame([(f"{i:032x}", "x" * (37 * i % 90)) for i in range(60)], "id string, contents string")
+    path, limit = shared_path(spark, "packs"), 400
+    sinks.write_packs(docs, path, 3, limit)
+    numbered = readers.packs(spark, path).withColumn("pack", F.regexp_extract("pack", r"pack=(\d+)", 1).cast("long"))
+    offsets = sinks.pack_offsets(docs, 3, limit)
+    assert {r.id: r.record for r in readers.pack_slice(offsets, numbered).collect()} == {r.id: r.record for r in sinks.pack_records(docs).collect()}
+    sizes = {r.pack: len(r.content) for r in numbered.collect()}
+    longest = max(r.length for r in offsets.collect())
+    assert len(sizes) > 6 and max(sizes.values()) < limit + longest
+    assert {r.pack: r.n for r in offsets.groupBy("pack").agg(F.sum("length").alias("n")).collect()} == sizes
+
+
 def test_packs(spark):
     docs = spark.createDataFrame([(f"{i:032x}", f"text {i}\nmore*") for i in range(20)] + [("f" * 32, None)], "id string, contents string")
     path = shared_path(spark, "packs")
