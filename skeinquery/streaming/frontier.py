@@ -57,25 +57,33 @@ OUT = T.StructType([T.StructField("domain", T.StringType()), T.StructField("url"
 STATE = T.StructType([T.StructField("urls", T.ArrayType(T.StringType())), T.StructField("next_ms", T.LongType())])
 
 
-def frontier(requests: DataFrame, delay_ms: int = 0) -> DataFrame:
+def frontier(requests: DataFrame, delay_ms: int = 0, robots: DataFrame | None = None) -> DataFrame:
     """(domain, url, at_ms) of requests(domain, url, ts): when each URL may be fetched.
 
+    With robots(domain, disallowed, delay), a static table, URLs that their host disallows go, and a host's own delay in
+    seconds stands in for delay_ms; hosts without rules allow all.
+
     A host has a queue, first in first out, and hands out a URL at most every delay_ms; times are event times, so a
     replay of the same batches gives the same answer; order holds within a batch. A host without URLs keeps only its next free time; no lock is shared between hosts.
     """
 
     def serve(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         next_ms = state.get[1] if state.exists else None
-        rows = sorted((t.value // 1_000_000, u) for f in frames for t, u in zip(f["ts"], f["url"], strict=True))
+        rows = sorted((t.value // 1_000_000, u, int(d)) for f in frames for t, u, d in zip(f["ts"], f["url"], f["delay_ms"], strict=True))
         out = []
-        for at, url in rows:
+        for at, url, wait in rows:
             at = at if next_ms is None else max(at, next_ms)
             out.append((key[0], url, at))
-            next_ms = at + delay_ms
+            next_ms = at + wait
         state.update(([], next_ms))
         yield pd.DataFrame(out, columns=["domain", "url", "at_ms"])
 
-    return requests.select("domain", "url", "ts").groupBy("domain").applyInPandasWithState(serve, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    asked, wait = requests.select("domain", "url", "ts"), F.lit(delay_ms)
+    if robots is not None:
+        asked = asked.join(robots.select("domain", "disallowed", "delay"), "domain", "left")
+        asked = asked.where(U.robots_allow(U.parsed(F.col("url"))["path"], F.col("disallowed")))
+        wait = F.coalesce(F.col("delay") * 1000, wait)
+    return asked.select("domain", "url", "ts", wait.cast("long").alias("delay_ms")).groupBy("domain").applyInPandasWithState(serve, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

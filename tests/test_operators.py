@@ -226,6 +226,15 @@ def test_frontier_stream(spark, tmp_path):
     assert got == {"u1": 0, "u2": 5000, "u3": 1000, "u4": 60_000}
 
 
+def test_frontier_keeps_to_robots(spark, tmp_path):
+    path = str(tmp_path / "requests")
+    spark.sql("SELECT * FROM VALUES ('http://a', 'http://a/x', timestamp '2024-01-01 00:00:00'), ('http://a', 'http://a/no/1', timestamp '2024-01-01 00:00:00'), ('http://a', 'http://a/y', timestamp '2024-01-01 00:00:01'), ('http://b', 'http://b/no/1', timestamp '2024-01-01 00:00:01'), ('http://b', 'http://b/z', timestamp '2024-01-01 00:00:01') AS t(domain, url, ts)").write.parquet(path)
+    stream = spark.readStream.schema("domain string, url string, ts timestamp").parquet(path)
+    rules = spark.createDataFrame([("http://a", ["/no"], 7)], "domain string, disallowed array<string>, delay int")
+    got = {r.url[7:]: r.at_ms - 1_704_067_200_000 for r in frontier.run_to_table(frontier.frontier(stream, 500, rules), "f").collect()}
+    assert got == {"a/x": 0, "a/y": 7000, "b/no/1": 1000, "b/z": 1500}
+
+
 def test_streams_agree_with_batch_over_two_runs(spark, tmp_path):
     pages = [(i, f"http://h{i % 3}/{i}", f"<a href='x'><a href=\"/{i % 4}\">{i % 5}") for i in range(12)]
     path = str(tmp_path / "pages")
