@@ -486,6 +486,12 @@ def crawl_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
+def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: users are hosts."""
+    events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parque?")
+    return events.select(F.col("user_id").cast("string").alias("domain"), F.col("event_id").cast("string").alias("url"), "ts")
+
+
 @query
 def stream_content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = frontier.content_dedup(frontier.page_stream(spark, f"{sf_dir}/pages.parque?"))
@@ -500,9 +506,12 @@ def stream_link_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parque?")
-    requests = events.select(F.col("user_id").cast("string").alias("domain"), F.col("event_id").cast("string").alias("url"), "ts")
-    return frontier.run_to_table(frontier.frontier(requests, 60_000), "stream-frontier")
+    return frontier.run_to_table(frontier.frontier(event_requests(spark, sf_dir), 60_000), "stream-frontier")
+
+
+@query
+def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.run_to_table(frontier.queued_frontier(event_requests(spark, sf_dir), 3_600_000), "stream-queue")
 
 
 @query

@@ -55,6 +55,14 @@ PUNCT = r"""[!"#$%&''()*+,./:;<=>?@\[\]^_`{|}~]"""
 STRIPPED = rf"regexp_replace(regexp_replace(node, '^[ \t\n\x0B\f\r]+', ''), '[ \t\n\x0B\f\r]+$', '')"
 JAVA = "CASE WHEN url = '' THEN '0' ELSE (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END)::VARCHAR END"
 
+def frontier_times(delay_ms: int) -> str:
+    """Each event as a request of its user, handed out at most every delay_ms."""
+    return f"""WITH e AS (SELECT user_id::VARCHAR AS domain, event_id::VARCHAR AS url, epoch_us(ts) // 1000 AS t FROM events),
+n AS (SELECT *, {delay_ms} * row_number() OVER (PARTITION BY domain ORDER BY t, url) AS waited FROM e),
+times AS (SELECT domain, url, waited + max(t - waited) OVER (PARTITION BY domain ORDER BY t, url ROWS UNBOUNDED PRECEDING) AS at_ms FROM n)
+SELECT domain, url, at_ms FROM times"""
+
+
 SQL: dict[str, str] = {
     "scan_csv_quoted": "SELECT doc_id::VARCHAR AS id, length(text)::BIGINT AS chars, md5(text) AS md5 FROM documents",
     "scan_edges": f"WITH {TRADE} SELECT src, dst FROM edges",
@@ -141,8 +149,7 @@ SELECT url, min(depth)::INTEGER AS depth FROM reach GROUP BY url""",
     "stream_content_dedup": "SELECT DISTINCT md5(html) AS md5 FROM pages",
     "stream_link_filter": f"WITH {LINKS} SELECT DISTINCT link AS url FROM links WHERE NOT (contains(link, 'wiki') AND NOT contains(link, 'en.wikipedia')) AND NOT contains(link, 'wordpress') AND NOT contains(link, 'stackexchange') AND NOT contains(link, 'tumblr')",
     "stream_crawl_step": f"WITH {PAGE_EDGES} SELECT src, dst FROM edges",
-    "stream_frontier": """WITH e AS (SELECT user_id::VARCHAR AS domain, event_id::VARCHAR AS url, epoch_us(ts) // 1000 AS t FROM events),
-n AS (SELECT *, 60000 * row_number() OVER (PARTITION BY domain ORDER BY t, url) AS waited FROM e)
-SELECT domain, url, waited + max(t - waited) OVER (PARTITION BY domain ORDER BY t, url ROWS UNBOUNDED PRECEDING) AS at_ms FROM n""",
+    "stream_frontier": frontier_times(60_000),
+    "stream_queue": frontier_times(3_600_000) + " WHERE at_ms < (SELECT max(t) FROM e)",
     "route_fields": rf"SELECT page_id, domain, domain AS route_key, ('0x' || substr(md5(domain), 1, 8))::BIGINT % 8 AS route FROM (SELECT page_id, {BASE} AS domain FROM pages)",
 }

@@ -54,7 +54,19 @@ def link_filter(links: DataFrame) -> DataFrame:
 
 
 OUT = T.StructType([T.StructField("domain", T.StringType()), T.StructField("url", T.StringType()), T.StructField("at_ms", T.LongType())])
-STATE = T.StructType([T.StructField("urls", T.ArrayType(T.StringType())), T.StructField("next_ms", T.LongType())])
+STATE = T.StructType([T.StructField("next_ms", T.LongType())])
+REQUEST = T.StructType([T.StructField("asked_ms", T.LongType()), T.StructField("url", T.StringType()), T.StructField("wait_ms", T.LongType())])
+QUEUE = T.StructType([T.StructField("waiting", T.ArrayType(REQUEST)), T.StructField("next_ms", T.LongType())])
+
+
+def asked(requests: DataFrame, delay_ms: int, robots: DataFrame | None) -> DataFrame:
+    """(domain, url, ts, delay_ms) of the requests that robots(domain, disallowed, delay) allows, with the delay of each host."""
+    rows, wait = requests.select("domain", "url", "ts"), F.lit(delay_ms)
+    if robots is not None:
+        rows = rows.join(robots.select("domain", "disallowed", "delay"), "domain", "left")
+        rows = rows.where(U.robots_allow(U.parsed(F.col("url"))["path"], F.col("disallowed")))
+        wait = F.coalesce(F.col("delay") * 1000, wait)
+    return rows.select("domain", "url", "ts", wait.cast("long").alias("delay_ms"))
 
 
 def frontier(requests: DataFrame, delay_ms: int = 0, robots: DataFrame | None = None) -> DataFrame:
@@ -63,27 +75,55 @@ def frontier(requests: DataFrame, delay_ms: int = 0, robots: DataFrame | None =
     With robots(domain, disallowed, delay), a static table, URLs that their host disallows go, and a host's own delay in
     seconds stands in for delay_ms; hosts without rules allow all.
 
-    A host has a queue, first in first out, and hands out a URL at most every delay_ms; times are event times, so a
-    replay of the same batches gives the same answer; order holds within a batch. A host without URLs keeps only its next free time; no lock is shared between hosts.
+    A host hands out a URL at most every delay_ms, first in first out. Every URL gets its time in the batch it comes
+    in, so order holds within a batch; `queued_frontier` waits and orders over batches. Times are event times, so a
+    replay of the same batches gives the same answer. A host keeps only its next free time; no lock is shared.
     """
 
     def serve(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_ms = state.get[1] if state.exists else None
+        next_ms = state.get[0] if state.exists else None
         rows = sorted((t.value // 1_000_000, u, int(d)) for f in frames for t, u, d in zip(f["ts"], f["url"], f["delay_ms"], strict=True))
         out = []
         for at, url, wait in rows:
             at = at if next_ms is None else max(at, next_ms)
             out.append((key[0], url, at))
             next_ms = at + wait
-        state.update(([], next_ms))
+        state.update((next_ms,))
         yield pd.DataFrame(out, columns=["domain", "url", "at_ms"])
 
-    asked, wait = requests.select("domain", "url", "ts"), F.lit(delay_ms)
-    if robots is not None:
-        asked = asked.join(robots.select("domain", "disallowed", "delay"), "domain", "left")
-        asked = asked.where(U.robots_allow(U.parsed(F.col("url"))["path"], F.col("disallowed")))
-        wait = F.coalesce(F.col("delay") * 1000, wait)
-    return asked.select("domain", "url", "ts", wait.cast("long").alias("delay_ms")).groupBy("domain").applyInPandasWithState(serve, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return asked(requests, delay_ms, robots).groupBy("domain").applyInPandasWithState(serve, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def queued_frontier(requests: DataFrame, delay_ms: int = 0, robots: DataFrame | None = None, lateness: str = "0 seconds") -> DataFrame:
+    """(domain, url, at_ms) as `frontier` gives them, each handed out once the stream's time has passed at_ms.
+
+    Until then a URL waits in its host's queue, ordered by (ts, url) over all batches: the watermark runs `lateness`
+    behind the newest request, what it has passed is final, and requests that come later than that are left out. Times
+    and order thus do not depend on how the stream is cut into batches. A host's timer wakes it without new requests; at
+    the end of a bounded stream URLs whose time has not passed stay in the state. Repeated requests are handed out as
+    often as they come. Rows without a time never wait: they are left out. A queue is one row of state, as one
+    politeness clock orders it.
+    """
+
+    def serve(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, next_ms = state.get if state.exists else ([], None)
+        new = [(t.value // 1_000_000, u, int(d)) for f in frames for t, u, d in zip(f["ts"], f["url"], f["delay_ms"], strict=True)]
+        queue = sorted([*map(tuple, waiting), *new], key=lambda row: (row[0], row[1] or "", row[2]))
+        now, out = state.getCurrentWatermarkMs(), []
+        for asked_ms, url, wait in queue:
+            at = asked_ms if next_ms is None else max(asked_ms, next_ms)
+            if at >= now:
+                break
+            out.append((key[0], url, at))
+            next_ms = at + wait
+        queue = queue[len(out) :]
+        state.update((queue, next_ms))
+        if queue:
+            state.setTimeoutTimestamp(queue[0][0] if next_ms is None else max(queue[0][0], next_ms))
+        yield pd.DataFrame(out, columns=["domain", "url", "at_ms"])
+
+    timed = requests.where("ts is not null").withWatermark("ts", lateness)
+    return asked(timed, delay_ms, robots).groupBy("domain").applyInPandasWithState(serve, OUT, QUEUE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

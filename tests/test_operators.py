@@ -235,6 +235,20 @@ def test_frontier_keeps_to_robots(spark, tmp_path):
     assert got == {"a/x": 0, "a/y": 7000, "b/no/1": 1000, "b/z": 1500}
 
 
+@pytest.mark.parametrize("files", [1, 2, 9])
+def test_queued_frontier_does_not_depend_on_batches(spark, tmp_path, files):
+    path, start = tmp_path / "requests", 1_704_067_200_000
+    rows = [("http://a", f"http://a/{k}", k) for k in range(6)] + [("http://a", "http://a/no/1", 0), ("http://b", "http://b/1", 3), ("http://b", "http://b/2", 3), ("http://c", "http://c/1", 40), ("http://c", "http://c/2", 90)]
+    for k in range(0, len(rows), 2):
+        df = spark.createDataFrame(sorted(rows, key=lambda r: r[2])[k : k + 2], "domain string, url string, s long")
+        df.select("domain", "url", F.timestamp_seconds(F.col("s") + start // 1000).alias("ts")).coalesce(1).write.mode("append").parquet(str(path))
+    rules = spark.createDataFrame([("http://a", ["/no"], 20)], "domain string, disallowed array<string>, delay int")
+    stream = spark.readStream.schema("domain string, url string, ts timestamp").option("maxFilesPerTrigger", files).parquet(str(path))
+    got = [(r.url[7:], (r.at_ms - start) // 1000) for r in frontier.run_to_table(frontier.queued_frontier(stream, 5000, rules), "q").collect()]
+    # the newest request is of second 90, so what is due then or later still waits: a/5 at 100 and c/2 at 90
+    assert sorted(got) == [("a/0", 0), ("a/1", 20), ("a/2", 40), ("a/3", 60), ("a/4", 80), ("b/1", 3), ("b/2", 8), ("c/1", 40)]
+
+
 def test_streams_agree_with_batch_over_two_runs(spark, tmp_path):
     pages = [(i, f"http://h{i % 3}/{i}", f"<a href='x'><a href=\"/{i % 4}\">{i % 5}") for i in range(12)]
     path = str(tmp_path / "pages")
