@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK, END = "*startid", "*endid*"
 
@@ -56,5 +60,20 @@ def unpack(packed: DataFrame, drop_last: bool = False, fuse_lines: bool = False)
 
 
 def pack_slice(meta: DataFrame, packed: DataFrame) -> DataFrame:
-    """(id, record) of meta(id, pack, start_idx, end_idx): the characters from start_idx up to end_idx of its pack."""
-    return meta.join(packed, "pack").select("id", F.substring(F.col("content"), F.col("start_idx").cast("int") + 1, (F.col("end_idx") - F.col("start_idx")).cast("int")).alias("record"))
+    """(id, record) of meta(id, pack, start_idx, end_idx): the characters from start_idx up to end_idx of its pack.
+
+    The places within a pack meet it in one row, so a pack is moved and decoded once, not once a document.
+    """
+    kind = meta.schema["id"].dataType
+    places = meta.groupBy("pack").agg(F.collect_list(F.struct("id", F.col("start_idx").cast("long").alias("start"), F.col("end_idx").cast("long").alias("end"))).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for places, content in zip(batch.column(0), batch.column(1), strict=True):
+                ids, text, rows = places.values.field("id"), content.as_py(), places.as_py()
+                for at in range(0, len(rows), 1 << 10):
+                    cuts = [None if r["start"] is None or r["end"] is None else text[r["start"] : r["end"]] for r in rows[at : at + (1 << 10)]]
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(cuts)), pa.array(cuts, pa.string())], names=["id", "record"])
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("record", T.StringType())])
+    return places.join(packed.where("content is not null"), "pack").select("places", "content").mapInArrow(run, schema)

@@ -135,6 +135,12 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def write_lines(stream: DataFrame, key: str, value: str, path: str, progress: str):
+    """A query that writes the lines `(key,value)` of a stream as text files."""
+    line = F.concat(F.lit("("), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(","), F.coalesce(F.col(value).cast("string"), F.lit("")), F.lit(")"))
+    return stream.select(line.alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", progress).trigger(availableNow=True).start()
+
+
 def crawl_step(pages: DataFrame, edges_out: str, documents_out: str, progress: str):
     """A query that writes the links and the documents of each micro-batch of pages; two sinks, one pass over a batch."""
     from skeinquery.operators import crawl

@@ -260,6 +260,56 @@ def test_streams_agree_with_batch_over_two_runs(spark, tmp_path):
     assert got == {r.link for r in crawl.extract_links(df).collect()} and len(got) == 12
 
 
+def test_fetch_over_http(spark):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    from skeinquery.sources import http
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            known = self.path == "/a"
+            self.send_response(200 if known else 404)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.send_header("Content-Length", "9")
+            self.end_headers()
+            self.wfile.write(f" {self.headers['User-Agent'][:5]}\xe9 ".encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    asked = spark.createDataFrame([(f"{base}/a",), (f"{base}/none",), ("no url",), (None,), (f"{base}/a",)], "url string")
+    try:
+        got = http.fetch(asked).collect()
+        assert [tuple(r) for r in got] == [(f"{base}/a", 200, "text/html", 9, None, "skein\xe9")] * 2
+        kept = http.fetch(asked, keep_failed=True).collect()
+        assert len(kept) == 5 and sum(r.html is None for r in kept) == 3
+        assert http.answer(f"{base}/a", most_bytes=3)["html"] == "sk"
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_pushed_rows_and_lines(spark, tmp_path):
+    from skeinquery.sources import http
+
+    path = str(tmp_path / "in")
+    spark.createDataFrame([('{"k": "a", "v": 1}',), ("no json",), ("[1]",), ('{"v": 2}',)], "value string").write.text(path)
+    stream = http.pushed(spark, path, "k string, v int")
+    frontier.write_lines(stream, "k", "v", str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["(,2)", "(a,1)"]
+
+
+def test_pack_slice_moves_a_pack_once(spark):
+    packs = spark.createDataFrame([("p", "ab\u00e9\U0001f600d"), ("q", ""), ("r", None)], "pack string, content string")
+    meta = spark.createDataFrame([(1, "p", 0, 2), (2, "p", 2, 4), (3, "p", 4, 99), (4, "q", 0, 1), (5, "r", 0, 1), (6, "s", 0, 1), (7, "p", None, 1), (None, "p", 1, 1)], "id long, pack string, start_idx long, end_idx long")
+    got = sorted(((r.id, r.record) for r in readers.pack_slice(meta, packs).collect()), key=str)
+    assert got == sorted([(1, "ab"), (2, "\u00e9\U0001f600"), (3, "d"), (4, ""), (7, None), (None, "")], key=str)
+
+
 def test_jobs(spark, tmp_path, capsys):
     from skeinquery.plans import jobs
 
