@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +14,13 @@ MARK, END = "*startid", "*endid*"
 
 
 def csv_quoted(spark: SparkSession, path: str, schema: str = "id string, contents string") -> DataFrame:
-    """CSV with a header, quotes and quotes doubled inside them; values may span lines."""
-    return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False).csv(path)
+    """CSV with a header, quotes and quotes doubled inside them; values may span lines.
+
+    White space and NUL stay as they are. Nothing between two commas is null, a pair of quotes an empty text: the reader
+    marks nulls by a value that is new each time, as its default takes either for null.
+    """
+    whole = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, charToEscapeQuoteEscaping='"', nullValue=f"null-{uuid.uuid4().hex}")
+    return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, **whole).csv(path)
 
 
 def csv_trimmed(spark: SparkSession, path: str, schema: str) -> DataFrame:

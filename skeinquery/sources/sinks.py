@@ -20,7 +20,9 @@ def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
+    """CSV that readers.csv_quoted reads back unchanged; the writer's defaults would trim values."""
+    whole = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, charToEscapeQuoteEscaping='"')
+    df.write.mode(mode).options(header=True, quote='"', escape='"', **whole).csv(path)
 
 
 def write_edges(edges: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: str = "append") -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinquery.functions import text as T
 from skeinquery.functions import urls as U
 from skeinquery.operators import crawl, graph, index, search
+from skeinquery.plans import web
 from skeinquery.sources import readers, sinks
 from skeinquery.sources.shared import shared_path
 from skeinquery.streaming import frontier
@@ -217,6 +218,21 @@ def test_text_sources_and_sinks(spark, tmp_path):
     assert sinks.kv_items(posting).first().item == '{"word":{"S":"w"},"idf":{"N":"1.0"},"docs":{"L":[{"M":{"t":{"N":"0.5"},"d":{"S":"d"}}}]}}'
 
 
+def test_csv_keeps_values(spark, tmp_path):
+    values = [" a", "a ", "\ta,b\n", "\n", "\r\n", "\r", "", " ", None, '"', '""', 'a"\0', "\0", "\\", '\\"', "\u00a0", "null", "#"]
+    rows = [(f"{i}", v) for i, v in enumerate(values)] + [("\r", "a"), (" ", ""), ("", None), (None, "b")]
+    sinks.write_csv(spark.createDataFrame(rows, "id string, contents string").coalesce(1), str(tmp_path / "csv"))
+    assert [tuple(r) for r in readers.csv_quoted(spark, str(tmp_path / "csv")).collect()] == rows
+    (tmp_path / "crlf.csv").write_bytes(b'id,contents\r\n1,"a ""b"""\r\n2,\r\n3,""\r\n')
+    assert [tuple(r) for r in readers.csv_quoted(spark, str(tmp_path / "crlf.csv")).collect()] == [("1", 'a "b"'), ("2", None), ("3", "")]
+
+
+def test_csv_query_on_odd_texts(spark, tmp_path):
+    texts = ["", " a", "a\n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.id: r.chars for r in web.scan_csv_quoted(spark, str(tmp_path)).collect()} == {"0": 0, "1": 2, "2": 2, "3": None}
+
+
 def test_frontier_stream(spark, tmp_path):
     path = str(tmp_path / "requests")
     spark.sql("SELECT * FROM VALUES ('a', 'u1', timestamp '2024-01-01 00:00:00'), ('a', 'u2', timestamp '2024-01-01 00:00:01'), ('b', 'u3', timestamp '2024-01-01 00:00:01'), ('a', 'u4', timestamp '2024-01-01 00:01:00') AS t(domain, url, ts)").write.parquet(path)
