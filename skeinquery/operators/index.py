@@ -80,19 +80,23 @@ def top_tfidf(weights: DataFrame, k: int = 30) -> DataFrame:
 def postings_ranked(weights: DataFrame, chunk: int = CHUNK, hot: int = 100_000) -> DataFrame:
     """(word, docid, tfidf, idf, place from 1, rank: the number of its chunk), highest tfidf first, ties by docid downwards.
 
-    A word of more than `hot` documents is ranked in slices: by its tfidf in 1024 steps and by the first two characters
-    of the docid, an order that agrees with the final one. Counts of the slices give each its offset, so no task sorts
-    all documents of a common word. Weights are kept in the shared folder first, as they are read twice.
+    A word of more than `hot` documents is ranked in slices: by its tfidf, in 1024 steps and then exactly, and by the first
+    two characters of the docid, an order that agrees with the final one. Counts of the slices give each its offset, over
+    the steps of a word and over the slices of a step, so no task sorts all documents of a common word. Weights are kept
+    in the shared folder first, as they are read twice.
     """
     weights = kept(weights.select("word", "docid", "normalized_tf", "tfidf", "idf", "idf_count"), "weights")
     step = F.when(F.col("idf") > 0, F.floor((F.col("normalized_tf") - 0.5) * 2048)).otherwise(0).cast("int")  # idf 0: all tie
     is_hot = F.col("idf_count") > hot
-    sliced = weights.select("word", "docid", "tfidf", "idf", F.when(is_hot, step).otherwise(0).alias("step"), F.when(is_hot, F.substring("docid", 1, 2)).otherwise("").alias("head"), is_hot.alias("hot"))
-    slices = sliced.where("hot").groupBy("word", "step", "head").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("word").orderBy(F.desc("step"), F.desc("head")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("word", "step", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("word", "step", "head").orderBy(F.desc("tfidf"), F.desc("docid"))
-    placed = sliced.join(offsets, ["word", "step", "head"], "left").withColumn("place", F.row_number().over(own) + F.coalesce("offset", F.lit(0)))
+    key = {"step": (step, 0), "value": (F.col("tfidf"), 0.0), "head": (F.coalesce(F.substring("docid", 1, 2), F.lit("")), "")}
+    sliced = weights.select("word", "docid", "tfidf", "idf", *(F.when(is_hot, c).otherwise(cold).alias(k) for k, (c, cold) in key.items()), is_hot.alias("hot"))
+    slices = sliced.where("hot").groupBy("word", *key).agg(F.count("*").alias("n"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    steps = slices.groupBy("word", "step").agg(F.sum("n").alias("n")).select("word", "step", F.coalesce(F.sum("n").over(before("word").orderBy(F.desc("step"))), F.lit(0)).alias("above"))
+    within = F.coalesce(F.sum("n").over(before("word", "step").orderBy(F.desc("value"), F.desc("head"))), F.lit(0))
+    offsets = slices.withColumn("within", within).join(steps, ["word", "step"]).select("word", *key, (F.col("above") + F.col("within")).alias("offset"))
+    own = Window.partitionBy("word", *key).orderBy(F.desc("tfidf"), F.desc("docid"))
+    placed = sliced.join(offsets, ["word", *key], "left").withColumn("place", F.row_number().over(own) + F.coalesce("offset", F.lit(0)))
     return placed.select("word", "docid", "tfidf", "idf", "place", ((F.col("place") - 1) / chunk + 1).cast("long").alias("rank"))
 
 

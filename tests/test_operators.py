@@ -54,6 +54,18 @@ def test_slices_of_common_words_keep_the_order(spark):
     assert plain == sliced
 
 
+def near_weights(spark):
+    """Shares 1/3 and 0.3335 lie within one step of 1/1024, and "9" comes after "1" by docid."""
+    docs = [("1", "a " * 667 + "b " * 2000), ("9", "a b b b"), ("90", "a b b b"), ("5", "b"), (None, "a a b b b")]
+    return index.tfidf(index.term_freq(spark.createDataFrame(docs, "docid string, contents string")))
+
+
+@pytest.mark.parametrize("hot", [1, 100])
+def test_slices_go_by_exact_weight(spark, hot):
+    got = index.postings_ranked(near_weights(spark), 50, hot).where("word = 'a'").orderBy("place").collect()
+    assert [(r.docid, r.place) for r in got] == [(None, 1), ("1", 2), ("90", 3), ("9", 4)]
+
+
 def test_search(spark, weights, ranks):
     postings = index.postings_chunked(weights)
     ask = lambda q, **k: [(r.docid, r.score) for r in search.search_ranked(postings, ranks, q, **k).collect()]
