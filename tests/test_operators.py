@@ -66,6 +66,11 @@ def test_slices_go_by_exact_weight(spark, hot):
     assert [(r.docid, r.place) for r in got] == [(None, 1), ("1", 2), ("90", 3), ("9", 4)]
 
 
+def test_chunks_go_by_exact_weight(spark):
+    got = {(r.word, r["rank"]): [d.docid for d in r.doc_list] for r in index.postings_chunked(near_weights(spark), 2, 1).where("word = 'a'").collect()}
+    assert got == {("a", 1): [None, "1"], ("a", 2): ["90", "9"]}
+
+
 def test_search(spark, weights, ranks):
     postings = index.postings_chunked(weights)
     ask = lambda q, **k: [(r.docid, r.score) for r in search.search_ranked(postings, ranks, q, **k).collect()]
